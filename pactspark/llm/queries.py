@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -36,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc, op5_html_text, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op4_warc, op5_html_text, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
