@@ -10,10 +10,12 @@ row a document. What goes back to a block is one sum per document.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,71 +43,114 @@ def _load(path: str):
     return tok
 
 
+#: Code points beyond this pattern need the tokenizer's own normaliser; for the rest white space and case are plain.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
+
+
 class PreTokens:
-    """Frequencies of a text's pre-tokens, as the tokenizer's own normaliser and splitter give them.
+    """Splits texts into words, and words into pre-tokens, as the tokenizer does.
 
-    White space never lies inside a pre-token of the splitters accepted here, so
-    words are split off first and each distinct word is pre-tokenised once.
-    Special strings stand apart before normalisation, as the library does it.
+    White space never lies inside a pre-token of the splitter, so words are split
+    off first and each distinct word is pre-tokenised once. Special strings stand
+    apart before normalisation, as the library does it. Texts below U+0250 are
+    composed already; if the normaliser is the chain NFC, white space to blanks,
+    lower case, then ``lower().split()`` gives the same words.
     """
 
     def __init__(self, tok):
         self.tok = tok
         specials = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.cache: dict[str, list[str]] = {}
-
-    def of(self, text: str) -> Counter:
-        found: Counter = Counter()
-        parts = [text]
-        if self.special is not None and self.special.search(text):
-            found.update(self.special.findall(text))
-            parts = self.special.split(text)
-        for part in parts:
-            normal = self.tok.normalizer.normalize_str(part) if self.tok.normalizer else part
-            for word, n in Counter(normal.split(" ")).items():
-                if not word:
-                    continue
-                pieces = self.cache.get(word)
-                if pieces is None:
-                    pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)]
-                    if len(word) < 64:
-                        if len(self.cache) >= CACHE_WORDS:
-                            self.cache.clear()
-                        self.cache[word] = pieces
-                for p in pieces:
-                    found[p] += n
-        return found
+        rule = json.loads(tok.to_str())["normalizer"] or {}
+        self.plain = rule.get("normalizers") == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        self.reset()
+
+    def reset(self) -> None:
+        self.word_id: dict[str, int] = {}
+        self.token_id: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.start: list[int] = [0]
+
+    def words(self, text: str) -> list[str]:
+        if self.special is None or not self.special.search(text):
+            return self._words(text)
+        out = [" " + x for x in self.special.findall(text)]  # no word begins with a blank
+        for part in self.special.split(text):
+            out += self._words(part)
+        return out
+
+    def _words(self, text: str) -> list[str]:
+        if self.plain and not _ODD.search(text):
+            return text.lower().split()
+        normal = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        return [w for w in normal.split(" ") if w]
+
+    def id_of(self, word: str) -> int:
+        """The word's number; its pre-tokens' numbers lie in flat[start[number]:start[number + 1]]."""
+        k = self.word_id.get(word)
+        if k is None:
+            k = self.word_id[word] = len(self.word_id)
+            for p in [word[1:]] if word[0] == " " else [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)]:
+                self.flat.append(self.token_id.setdefault(p, len(self.token_id)))
+            self.start.append(len(self.flat))
+        return k
 
 
 def _blocks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = PreTokens(_load(path))
         schema = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("block", pa.string()), ("words", pa.binary()), ("postings", pa.binary())])
-        lists: dict[str, bytearray] = {}
         ids: list = []
         sizes: list[int] = []
+        held: list[list[int]] = []  # word numbers of each document
+        times: list[list[int]] = []
         chars = 0
 
         def flush():
-            nonlocal lists, ids, sizes, chars
+            nonlocal ids, sizes, held, times, chars
             head = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "n_bytes"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_batch(head)
             body = sink.getvalue().to_pybytes()
+            start, flat = np.array(pre.start), np.array(pre.flat, np.int64)
+            doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            word = np.fromiter(chain.from_iterable(held), np.int64, len(doc))
+            n = np.fromiter(chain.from_iterable(times), np.int64, len(doc))
+            lens = start[word + 1] - start[word]
+            at = np.repeat(start[word] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+            key = flat[at] * BLOCK_DOCS + np.repeat(doc, lens)
+            n = np.repeat(n, lens)
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            n = np.add.reduceat(n, first) if len(first) else n
+            key = key[first]
+            parts = (n + 254) // 255  # a larger frequency takes several entries of one byte
+            entries = np.empty(int(parts.sum()), _POSTING)
+            entries["doc"] = np.repeat(key % BLOCK_DOCS, parts)
+            entries["n"] = 255
+            entries["n"][np.cumsum(parts) - 1] = n - 255 * (parts - 1)
+            token = np.repeat(key // BLOCK_DOCS, parts)
+            runs = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            ends = np.r_[runs[1:], len(token)] if len(runs) else runs
+            raw = entries.tobytes()
             # The name holds the block's content: an attempt that reads other rows makes other blocks.
-            name = f"{zlib.crc32(body):08x}{zlib.adler32(b''.join(map(bytes, lists.values())) if lists else b''):08x}-{ids[0]}-{len(ids)}"
+            name = f"{zlib.crc32(body):08x}{zlib.adler32(raw):08x}-{len(ids)}"
+            spelt = list(pre.token_id)
             per: list[list] = [[] for _ in range(buckets)]
-            for word, posting in lists.items():
-                per[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append((word, posting))
+            size = _POSTING.itemsize
+            for t, a, b in zip(token[runs].tolist(), runs.tolist(), ends.tolist()):
+                w = spelt[t].encode("utf-8", "surrogatepass")
+                per[zlib.crc32(w) % buckets].append((w, b - a, raw[a * size : b * size]))
             rows = [(zlib.crc32(name.encode()) % buckets, HEADER, name, None, body)]
-            for b, entries in enumerate(per):
-                if entries:
-                    words = "\n".join(w for w, _ in entries).encode("utf-8", "surrogatepass")
-                    lens = np.array([len(p) // 3 for _, p in entries], "<u4").tobytes()
-                    rows.append((b, len(entries), name, zlib.compress(words, 1), zlib.compress(lens + b"".join(p for _, p in entries), 1)))
-            lists, ids, sizes, chars = {}, [], [], 0
+            for b, found in enumerate(per):
+                if found:
+                    lens = np.array([x[1] for x in found], "<u4").tobytes()
+                    rows.append((b, len(found), name, zlib.compress(b"\n".join(x[0] for x in found), 1), zlib.compress(lens + b"".join(x[2] for x in found), 1)))
+            ids, sizes, held, times, chars = [], [], [], [], 0
+            if len(pre.word_id) > CACHE_WORDS:
+                pre.reset()
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[k : k + 64]), schema)], schema=schema)
 
@@ -114,18 +159,15 @@ def _blocks(path: str, buckets: int):
                 text = text or ""
                 if ids and (len(ids) >= BLOCK_DOCS or chars + len(text) > BLOCK_CHARS):
                     yield from flush()
-                at = len(ids).to_bytes(2, "little")
                 ids.append(doc_id)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 chars += len(text)
-                for p, n in pre.of(text).items():
-                    posting = lists.get(p)
-                    if posting is None:
-                        posting = lists[p] = bytearray()
-                    while n > 255:
-                        posting += at + b"\xff"
-                        n -= 255
-                    posting += at + bytes((n,))
+                found = Counter(pre.words(text))
+                numbers = list(map(pre.word_id.get, found))
+                if None in numbers:
+                    numbers = list(map(pre.id_of, found))
+                held.append(numbers)
+                times.append(list(found.values()))
         if ids:
             yield from flush()
 
