@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,37 +40,50 @@ class Hasher:
         self.words: dict[str, int] = {}
 
     def paragraph(self, text: str) -> np.ndarray:
-        body = text.encode("utf-8", "surrogatepass")
-        vector = np.zeros(EXACT + SKETCH, np.uint64)
-        vector[:EXACT] = np.frombuffer(hashlib.shake_256(body).digest(8 * EXACT), "<u8")
-        words = text.split()
-        if words:
-            known = self.words
+        return self.of([text])
+
+    def text(self, text: str) -> np.ndarray:
+        return self.of(paragraphs(text))
+
+    def of(self, parts: list[str]) -> np.ndarray:
+        """The sum of the vectors of all parts, with the shingles of all of them counted at once."""
+        vector = empty()
+        if not parts:
+            return vector
+        for p in parts:
+            vector[:EXACT] += np.frombuffer(hashlib.shake_256(p.encode("utf-8", "surrogatepass")).digest(8 * EXACT), "<u8")
+        split = [p.split() for p in parts]
+        words = list(chain.from_iterable(split))
+        if not words:
+            return vector
+        known = self.words
+        numbers = list(map(known.get, words))
+        if None in numbers:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            hashes = np.empty(len(words), np.uint64)
             for k, w in enumerate(words):
-                h = known.get(w)
-                if h is None:
-                    h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
-                    if len(w) < 64:
-                        known[w] = h
-                hashes[k] = h
-            for n in SHINGLES:
-                if len(words) >= n:
-                    h = np.full(len(words) - n + 1, n, np.uint64)
-                    for j in range(n):
-                        h = (h ^ hashes[j : len(words) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-                        h ^= h >> np.uint64(29)
-                    h *= np.uint64(0xBF58476D1CE4E5B9)
-                    lane = (h >> np.uint64(32)).astype(np.int64) % SKETCH
-                    sign = ((h >> np.uint64(20)) & np.uint64(1)).astype(np.float64) * 2 - 1
-                    vector[EXACT:] += np.bincount(lane, sign, SKETCH).astype(np.int64).view(np.uint64)
-        vector[EXACT:] &= np.uint64(0xFFFFFFFF)
-        return vector
-
-    def text(self, text: str) -> np.ndarray:
-        return total(self.paragraph(p) for p in paragraphs(text))
+                if numbers[k] is None:
+                    numbers[k] = known.get(w)
+                    if numbers[k] is None:
+                        numbers[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
+                        if len(w) < 64:
+                            known[w] = numbers[k]
+        hashes = np.array(numbers, np.uint64)
+        part = np.repeat(np.arange(len(parts)), [len(x) for x in split])
+        shingles = []
+        h = np.zeros(len(words), np.uint64)
+        for n in range(1, max(SHINGLES) + 1):
+            if n > len(words):
+                break
+            h = (h[: len(words) - n + 1] ^ hashes[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            if n in SHINGLES:
+                shingles.append(h if n == 1 else h[part[: len(words) - n + 1] == part[n - 1 :]])
+        h = np.concatenate(shingles) * np.uint64(0xBF58476D1CE4E5B9)
+        at = ((h >> np.uint64(40)) & np.uint64(2 * SKETCH - 1)).astype(np.int64)  # lane and sign
+        lanes = np.bincount(at, minlength=2 * SKETCH)
+        vector[EXACT:] = (lanes[:SKETCH] - lanes[SKETCH:]).view(np.uint64)
+        return _wrap(vector)
 
 
 def paragraphs(text: str) -> list[str]:
@@ -125,8 +139,8 @@ def edited(hasher: Hasher, text: str, vector: np.ndarray, following: str) -> tup
         if a != b:
             break
         same += 1
-    gone = total(hasher.paragraph(p) for p in old_parts[same:])
-    come = total(hasher.paragraph(p) for p in new_parts[same:])
+    gone = hasher.of(old_parts[same:])
+    come = hasher.of(new_parts[same:])
     return new, add(remove(vector, gone), come)
 
 
