@@ -77,8 +77,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_pieces, op4_warc, op5_html_text, op6_line_dedup, op7_embedding_dedup, op8_mixing, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_pieces, op4_warc, op5_html_text, op6_line_dedup, op7_embedding_dedup, op8_mixing, op9_fingerprints, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
