@@ -38,7 +38,9 @@ def _selected(lines: DataFrame, run_words: int, gram_words: int) -> DataFrame:
     grams = f"transform(sequence(1, size(n)), s -> transform(array({shortest(gram_words)}), r -> if(r.w >= {gram_words}, struct(xxhash64(slice(h, s, r.k)) AS hash, s AS p, s + r.k AS stop), NULL))[0])"
     least = f"array_min(transform(filter(slice(grams, s, r.k), g -> g IS NOT NULL AND g.stop <= s + r.k), g -> struct(g.hash AS hash, g.p AS p)))"
     windows = f"array_distinct(filter(transform(sequence(1, size(n)), s -> transform(array({shortest(run_words)}), r -> if(r.w >= {run_words}, {least}, NULL))[0]), x -> x IS NOT NULL))"
-    return lines.withColumn("grams", F.expr(grams)).select("at", "tie", F.explode(F.expr(windows)).alias("g")).select("at", "tie", "g.hash", "g.p")
+    # A lambda's variable is evaluated once; a column would be put into each step of the loops in its place.
+    found = F.expr(f"transform(array({grams}), grams -> {windows})[0]")
+    return lines.select("at", "tie", F.explode(found).alias("g")).select("at", "tie", "g.hash", "g.p")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -53,11 +55,12 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     both = pairs.join(own, ["at", "tie"]).join(own.select(F.col("at").alias("c_at"), F.col("tie").alias("c_tie"), F.col("h").alias("c_h")), ["c_at", "c_tie"])
     # Lines lo .. lo + len - 1 of the later document stand against lines lo - off ... of the first.
     both = both.withColumn("lo", F.greatest(F.lit(1), F.col("off") + 1)).withColumn("len", F.least(F.size("h") - F.col("lo") + 1, F.size("c_h") - F.col("lo") + F.col("off") + 1))
-    same = both.withColumn("same", F.expr("concat(zip_with(slice(h, lo, len), slice(c_h, lo - off, len), (x, y) -> x = y), array(false))"))
+    same = "concat(zip_with(slice(h, lo, len), slice(c_h, lo - off, len), (x, y) -> x = y), array(false))"
     step = f"""aggregate(sequence(1, len + 1), struct(0 AS w, 0 AS k, array_repeat(struct(0 AS b, 0 AS e), 0) AS runs),
         (a, s) -> if(same[s - 1], struct(a.w + n[lo + s - 2] AS w, a.k + 1 AS k, a.runs AS runs),
                   struct(0 AS w, 0 AS k, if(a.w >= {run_words}, array_append(a.runs, struct(lo + s - 1 - a.k AS b, lo + s - 2 AS e)), a.runs) AS runs))).runs"""
-    runs = same.select("at", "tie", F.expr(f"transform({step}, r -> struct(i[r.b - 1] AS b, i[r.e - 1] AS e))").alias("runs")).where("size(runs) > 0")
+    step = f"transform(array({same}), same -> {step})[0]"
+    runs = both.select("at", "tie", F.expr(f"transform({step}, r -> struct(i[r.b - 1] AS b, i[r.e - 1] AS e))").alias("runs")).where("size(runs) > 0")
     return runs.groupBy("at", "tie").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
