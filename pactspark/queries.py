@@ -99,14 +99,14 @@ SQL: dict[str, str] = {
     "q41_window_frames": 'SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS q, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 6) AS pr, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 6) AS cd, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS BIGINT) AS dr FROM "sales/orders/v1" t',
     "q42_string_functions": "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 2, 5) AS s, replace(p_type, ' ', '_') AS r, concat_ws('-', p_name, p_type) AS w, left(p_name, 3) AS l, lpad(p_name, 30, '.') AS lp, reverse(p_name) AS rv, translate(p_name, 'abc', 'xyz') AS t, split_part(p_type, ' ', 1) AS sp, ascii(p_name) AS a, repeat(p_name, 2) AS rp FROM \"sales/part/v1\" t",
     "q43_math_functions": "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_retailprice), 6) AS s, CAST(floor(p_retailprice) AS DOUBLE) AS f, CAST(ceil(p_retailprice) AS DOUBLE) AS c, round(ln(p_retailprice), 6) AS l, round(power(p_size, 2), 6) AS p, greatest(p_size, 10) AS g, least(p_size, 10) AS ls, coalesce(nullif(p_size, 1), -1) AS nf, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS k, CAST(sign(p_size - 25) AS INT) AS sg, p_size % 7 AS m, round(sin(p_size), 6) AS sn, round(atan2(p_size, 3), 6) AS at FROM \"sales/part/v1\" t",
-    "q44_date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, date_trunc('month', o_orderdate) AS mo, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS dt, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS q FROM \"sales/orders/v1\" t",
+    "q44_date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS dt, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS q FROM \"sales/orders/v1\" t",
     "q45_regex_functions": "SELECT p_partkey, regexp_replace(p_name, '[0-9]', 'N') AS r FROM \"sales/part/v1\" t WHERE p_type LIKE '%E%'",
     "q46_hash_functions": 'SELECT p_partkey, md5(p_name) AS m, lower(hex(p_size)) AS h FROM "sales/part/v1" t',
     "q48_order_limit_offset": 'SELECT o_orderkey FROM "sales/orders/v1" t ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET 5',
     "q49_distinct_on": 'SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM "sales/orders/v1" t) x WHERE rn = 1',
     "q50_having": 'SELECT o_custkey, count(*) AS n FROM "sales/orders/v1" t GROUP BY o_custkey HAVING count(*) > 10',
     "q47_unnest": "SELECT p_partkey, explode(split(p_type, ' ')) AS word FROM \"sales/part/v1\" t",
-    "q55_array_functions": "SELECT p_partkey, array_join(array(p_brand, p_type), '|') AS j, array_contains(array(1, 5, p_size), 5) AS h, array_max(array(p_size, 7)) AS m, CAST(array_position(array(9, p_size), p_size) AS BIGINT) AS at, element_at(array(p_size, 3), 2) AS e, size(array_distinct(array(p_size, 3, 3))) AS d, array_join(slice(sequence(1, 5), 2, 3), ',') AS sl FROM \"sales/part/v1\" t",
+    "q55_array_functions": "SELECT p_partkey, array_join(array(p_brand, p_type), '|') AS j, array_contains(array(1, 5, p_size), 5) AS h, array_max(array(p_size, 7)) AS m, CAST(array_position(array(9, p_size), p_size) AS BIGINT) AS at, array(p_size, 3)[1] AS e, size(array_distinct(array(p_size, 3, 3))) AS d, array_join(slice(sequence(1, 5), 2, 3), ',') AS sl FROM \"sales/part/v1\" t",
     "q56_map_struct_functions": "SELECT p_partkey, element_at(map('a', p_size, 'b', 2), 'a') AS v, cardinality(map_keys(map('a', 1, 'b', 2))) AS k, named_struct('x', p_size).x AS x FROM \"sales/part/v1\" t",
     "q57_conditionals": "SELECT p_partkey, nvl(nullif(p_size, 3), 0) AS a, nvl2(nullif(p_size, 3), 1, 2) AS b, ifnull(nullif(p_size, 4), -4) AS c FROM \"sales/part/v1\" t",
     "q58_approx": 'SELECT l_returnflag, approx_count_distinct(l_linenumber) AS n, percentile_approx(l_linenumber, 0.5, 100000) AS m FROM "sales/lineitem/v1" t GROUP BY l_returnflag',
@@ -114,7 +114,7 @@ SQL: dict[str, str] = {
     "q60_natural_using": 'SELECT a.c_custkey, b.c_name FROM "sales/customer/v1" a JOIN "sales/customer/v1" b USING (c_custkey)',
     "q61_string_agg": 'SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), \',\') AS names FROM "sales/nation/v1" t GROUP BY n_regionkey',
     "q62_regr_bits": 'SELECT l_returnflag, round(covar_pop(l_quantity, l_extendedprice), 3) AS cp, round(regr_slope(l_extendedprice, l_quantity), 6) AS sl, bit_or(l_linenumber) AS bo, bit_and(l_linenumber) AS ba, bit_xor(l_linenumber) AS bx, max(l_orderkey) AS mx FROM "sales/lineitem/v1" t GROUP BY l_returnflag',
-    "q63_time_bins": "SELECT event_type, count(*) AS n, min(date_trunc('hour', ts)) AS first_hour FROM \"sales/events/v1\" t GROUP BY event_type",
+    "q63_time_bins": "SELECT event_type, count(*) AS n, CAST(min(date_trunc('hour', ts)) AS VARCHAR(30)) AS first_hour FROM \"sales/events/v1\" t GROUP BY event_type",
     "q64_cast_typeof": 'SELECT p_partkey, CAST(p_size AS DOUBLE) / 4 AS d, CAST(p_partkey AS VARCHAR(20)) AS s, p_size::BIGINT AS b FROM "sales/part/v1" t',
     "q51_values_join": "SELECT v.k, v.name FROM (VALUES (1, 'a'), (2, 'b')) AS v(k, name)",
 }
