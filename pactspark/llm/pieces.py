@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -28,21 +29,33 @@ from .common import small_batches
 SPACE = "▁"
 MOST_CHUNKS = 200_000
 MOST_PAIRS = 500_000
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_LETTER = re.compile(r"[^\W\d_]")
 _APART = "\U0010ffff"
 _WIDTH = 1 << 22  # more than the pieces and code points together
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their first ``depth`` code points, by prefix doubling."""
-    rank = codes.astype(np.int64)
-    k = 1
-    while k < depth:
-        after = np.zeros_like(rank)
-        after[:-k] = rank[k:] + 1
-        rank = np.unique(rank * (int(after.max(initial=0)) + 1) + after, return_inverse=True)[1].astype(np.int64)
+    """Positions in the order of their first ``depth`` code points, by prefix doubling.
+
+    The first keys hold as many characters as fit in 63 bits.
+    """
+    small = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
+    bits = int(small.max()).bit_length()
+    k = max(1, min(63 // bits, depth))
+    key = np.zeros_like(small)
+    padded = np.r_[small, np.zeros(k, np.int64)]
+    for j in range(k):
+        key = (key << bits) | padded[j : j + len(small)]
+    while True:
+        order = np.argsort(key, kind="stable")
+        if k >= depth:
+            return order
+        in_order = key[order]
+        rank = np.empty_like(key)
+        rank[order] = np.cumsum(np.r_[1, in_order[1:] != in_order[:-1]])
+        key = rank * (len(rank) + 2)
+        key[: max(len(rank) - k, 0)] += rank[k:]
         k *= 2
-    return np.argsort(rank, kind="stable")
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,18 +106,33 @@ class PieceModel:
         self.unknown = next(k for k, t in enumerate(kinds) if t == 2)
         if 4 in kinds or 5 in kinds:
             raise ValueError("user-defined and unused pieces are not handled")
-        self.chunked = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
+        # Text can be cut between two characters that stand together in no piece: no merge spans them.
+        together = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.chunked = not any(x[0] != SPACE and x[1] == SPACE for x in together)
+        after = {x[1] for x in together if _LETTER.fullmatch(x[0])}
+        before = {x[0] for x in together if _LETTER.fullmatch(x[1])}
+        gap = "".join(c for c in "\n\r\t" if not any(c in p for p in self.id))
+        marks = [c for c in string.punctuation if c not in after]
+        ends = re.escape("".join(c for c in marks if c not in before))
+        mark, letter, words = re.escape("".join(marks)), _LETTER.pattern, ""
+        if ends:
+            words = rf"{SPACE}*{letter}++(?=[{SPACE}{gap}{mark}]|\Z)|{SPACE}*[{mark}]++(?:(?=[{SPACE}{gap}]|\Z)|(?<=[{ends}])(?={letter}))|"
+        self.cut = re.compile(f"{words}{SPACE}*[^{SPACE}{gap}]+|{SPACE}+" + (f"|[{gap}]+" if gap else ""))
         self.names = list(self.id)
         self.lens = np.array([len(p) for p in self.names])
         self.depth = int(self.lens.max())
         self.codes = np.zeros((len(self.names), self.depth), np.int64)
         for k, p in enumerate(self.names):
             self.codes[k, : len(p)] = [ord(c) for c in p]
-        self.chunks: dict[str, list[int]] = {}  # of two generations, so that frequent chunks stay known
-        self.older: dict[str, list[int]] = {}
+        self.chunks: dict[str, bytes] = {}  # ids of four bytes; of two generations, so that frequent chunks stay known
+        self.older: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
         self.stable = np.full(len(self.names), -1, np.int8)
-        self.ids = list(self.id.values())
+        self.ids = np.array(list(self.id.values()))
+        self.bytes = [b"" if k in self.silent else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for k, p in enumerate(self.text)]
+        self.bytes[self.unknown] = " ⁇ ".encode()
+        for k, v in self.byte_of.items():
+            self.bytes[k] = bytes((v,))
         counts = {}
         for p, s in self.score.items():
             counts[s] = counts.get(s, 0) + 1
@@ -208,38 +236,51 @@ class PieceModel:
                 pairs, back = np.unique(before[open_] * _WIDTH + p[open_], return_inverse=True)
                 fits[open_] = self._apart(pairs)[back]
             last[ends[lo_:hi_][fits]] = p[fits]
-        back, lens = last.tolist(), self.lens.tolist()
-        n_names = len(lens)
-        for c, (chunk, start, hand) in enumerate(zip(chunks, starts.tolist(), tied.tolist())):
-            parts: list[int] = []
-            k = start + len(chunk)
-            while k > start and back[k] >= 0 and not hand:
-                parts.append(back[k])
-                k -= lens[back[k]] if back[k] < n_names else 1
-            if k == start:
-                parts.reverse()
-                if max(parts) < n_names:
-                    self.chunks[chunk] = [self.ids[p] for p in parts]
-                    continue
-                self.chunks[chunk] = self.ids_of(map(self.spelt, parts))
-            else:
-                self.chunks[chunk] = self.ids_of(self.merge(chunk))
+        # All chunks are walked back at once, a piece of each in a step.
+        lens = np.r_[self.lens, 1]
+        n_names = len(self.names)
+        now, of, steps = starts + sizes, np.arange(len(chunks)), []
+        while len(of):
+            p = last[now]
+            on = p >= 0
+            of, now, p = of[on], now[on], p[on]
+            steps.append((of, p))
+            now = now - lens[np.minimum(p, n_names)]
+        of, p = np.concatenate([x[0] for x in steps]), np.concatenate([x[1] for x in steps])
+        order = np.argsort(of, kind="stable")[::-1]  # pieces forward, chunks backward
+        of, p = of[order], p[order]
+        # Chunks with tied pieces, without a path, or with characters that are no pieces go one by one.
+        odd = tied.copy()
+        odd[of[p >= n_names]] = True
+        lost = np.ones(len(chunks), bool)
+        lost[of[np.r_[True, of[1:] != of[:-1]]]] = False
+        reached = np.bincount(of, lens[np.minimum(p, n_names)], minlength=len(chunks)).astype(np.int64)
+        odd |= lost | (reached != sizes)
+        ids = self.ids[np.minimum(p, n_names - 1)].astype("<i4").tobytes()
+        stop = np.cumsum(np.bincount(of, minlength=len(chunks))[::-1])[::-1]
+        begin = np.r_[stop[1:], 0]
+        for chunk, i, j, hand in zip(chunks, begin.tolist(), stop.tolist(), odd.tolist()):
+            self.chunks[chunk] = np.array(self.ids_of(self.merge(chunk)), "<i4").tobytes() if hand else ids[4 * i : 4 * j]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
         cut = []
         for t in texts:
             body = (SPACE if self.prefix else "") + t.replace(" ", SPACE) if t else ""
-            cut.append(_CHUNK.findall(body) if self.chunked else [body] if body else [])
+            cut.append(self.cut.findall(body) if self.chunked else [body] if body else [])
         if len(self.chunks) > MOST_CHUNKS:
             self.older, self.chunks = self.chunks, {}
-        chunks_, older = self.chunks, self.older
+        known, older = self.chunks, self.older
         new = []
-        for c in set(chain.from_iterable(cut)).difference(chunks_):
+        for c in set(chain.from_iterable(cut)).difference(known):
             ids = older.get(c)
             if ids is None:
                 new.append(c)
             else:
-                chunks_[c] = ids
+                known[c] = ids
         step, size = [], 0
         for c in new:
             step.append(c)
@@ -249,34 +290,12 @@ class PieceModel:
                 step, size = [], 0
         if step:
             self.learn(step)
-        out = []
-        for chunks in cut:
-            ids: list[int] = []
-            for c in chunks:
-                ids += self.chunks[c]
-            out.append(ids)
-        return out
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
-        out: list[str] = []
-        held = bytearray()
-        for k in ids:
-            if k in self.byte_of:
-                held.append(self.byte_of[k])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if k == self.unknown:
-                out.append(" ⁇ ")
-            elif k not in self.silent:
-                out.append(self.text[k])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        body = "".join(out)
-        if self.prefix and body.startswith(SPACE):
-            body = body[1:]
-        return body.replace(SPACE, " ")
+        """Pieces of bytes that make no character give U+FFFD."""
+        body = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return body[1:] if self.prefix and body.startswith(" ") else body
 
 
 def _model(path: str) -> PieceModel:
@@ -292,9 +311,14 @@ def _encoded(path: str):
         model = _model(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = model.encode(texts)
-            same = [model.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+            bodies = model.encode_bytes(texts)
+            n = np.array([len(x) // 4 for x in bodies], np.int64)
+            values = np.frombuffer(b"".join(bodies), "<i4")
+            ends = np.r_[0, np.cumsum(n)].astype(np.int32)
+            flat, at = values.tolist(), ends.tolist()
+            same = [model.decode(flat[i:j]) == t.replace(SPACE, " ") for i, j, t in zip(at, at[1:], texts)]
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(n), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return run
 
