@@ -60,7 +60,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_simhash, op3_pieces, op4_warc, op5_html_text, op6_line_dedup, op7_embedding_dedup, op8_mixing, op9_fingerprints, op10_token_counts, pipeline)}
 
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS digest FROM p),
+f AS (SELECT digest AS of_digest, max(page_id) AS first FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n < 1000 OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN n < 1000 OR first = page_id THEN NULL ELSE first END AS refers_to, true AS verified
+FROM d LEFT JOIN f ON digest = of_digest
+"""
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id, (SELECT min(b) FROM reach WHERE a = vec_id) = vec_id AS kept
+FROM embeddings
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need a trained model, a fingerprint join, markup or a tokenizer; tests hold them against brute force."""
+    from .mixing_sql import sql
+
+    return {"op4_warc": _WARC, "op7_embedding_dedup": _VECTORS, "op8_mixing": sql()}
