@@ -167,14 +167,6 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
 
-def _sample(df: DataFrame, key, most: int, total: int) -> DataFrame:
-    """About ``most`` rows at most, the same ones each time."""
-    if total <= most:
-        return df
-    share = int(most / total * 2**31)
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(2**31)) < share).limit(2 * most)
-
-
 def held_out(doc_id):
     """crc32 of the id as text, modulo 3, is 1; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -187,14 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
     tally = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     n_docs = texts.select("doc_id").count()
-    few = _sample(known, "doc_id", max_labelled, sum(tally.values()))  # at most 2 * max_labelled rows, hence the broadcast
-    labelled = texts.join(F.broadcast(few), "doc_id").select("y", "text").limit(2 * max_labelled)
-    web = _sample(texts, "doc_id", max_unlabelled, n_docs).select(F.lit(-1).alias("y"), "text")
+    few, n_known = known.distinct(), sum(tally.values())  # of one id there are no more rows than labels
+    if n_known > max_labelled:
+        few = few.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**31)) < int(max_labelled / n_known * 2**31))
+    # About max_labelled rows at most, hence the broadcast. One text for each labelled id, however often it is repeated.
+    labelled = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
+    # By chance and not by id: a repeated id must not decide over the size of the sample. The same files give the same rows.
+    web = texts if n_docs <= max_unlabelled else texts.where(F.rand(11) < max_unlabelled / n_docs)
+    web = web.select(F.lit(-1).alias("y"), "text")
     rows = labelled.unionByName(web).mapInArrow(_featured, "y int, x array<double>").toPandas()
     y = rows["y"].to_numpy()
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), -1)
     if not len(y):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [np.zeros((N_FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)])
+    x = np.array(rows["x"].tolist(), dtype=np.float64)
     order = np.lexsort((*x.T, y))  # the order in which tasks ended doesn't matter
     x, y = x[order], y[order]
     positives = tally.get(1, 0)
