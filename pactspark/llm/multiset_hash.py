@@ -186,10 +186,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("tie", F.xxhash64("text"))
     n = 4 * partitions(spark)
     # n bounds of ranges: a bounded summary, whatever the size of the table.
-    found = rows.agg(F.percentile_approx("at", F.array(*(F.lit(k / n) for k in range(1, n))), F.lit(100 * n)).alias("b")).first()["b"] if n > 1 else None
+    ranks = ", ".join(f"{k / n!r}D" for k in range(1, n))
+    found = rows.agg(F.expr(f"percentile_approx(at, array({ranks}), {10 * n})").alias("b")).first()["b"] if n > 1 else None
     bounds = sorted(set(found or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("at"))) if len(bounds) < 8 else _bisect(F.col("at"), bounds)
-    rows = rows.withColumn("bucket", bucket if bounds else F.lit(0))
+    rows = rows.withColumn("bucket", _bisect("at", bounds))
     # The first document of each range: at most n rows.
     firsts = {r["bucket"]: (r["first"]["at"], r["first"]["tie"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("at", "tie")).alias("first")).collect()}
     order = sorted(firsts)
@@ -207,13 +207,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return placed.select("bucket", "guest", "doc_id", "text").mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _bisect(value, bounds: list[int]):
-    """How many bounds lie below the value, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))
+def _bisect(column: str, bounds: list[int]):
+    """How many bounds lie below the column's value."""
+    listed = f"CAST(split('{','.join(map(str, bounds))}', ',') AS ARRAY<BIGINT>)" if bounds else "CAST(array() AS ARRAY<BIGINT>)"
+    half = f"if({listed}[(s.lo + s.hi) div 2] < {column}, struct(int((s.lo + s.hi) div 2 + 1) AS lo, s.hi AS hi), struct(s.lo AS lo, int((s.lo + s.hi) div 2) AS hi))"
+    return F.expr(f"aggregate(sequence(0, {len(bounds).bit_length()}), struct(0 AS lo, {len(bounds)} AS hi), (s, _k) -> if(s.lo < s.hi, {half}, s)).lo")
