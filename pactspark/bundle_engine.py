@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .engine import new_session
 from .errors import ConfigError, MissingBundle
 from .plans.guard import reject_unsafe
 from .policy import BundleHandle
@@ -56,7 +57,7 @@ class BundleEngine:
     def session(self) -> SparkSession:
         with self._lock:
             if self._session is None:
-                self._session = self.spark.newSession()
+                self._session = new_session(self.spark)
             return self._session
 
     def register_frame(self, name: str, df: DataFrame) -> None:
@@ -69,8 +70,8 @@ class BundleEngine:
         self.register_frame(name, self.session.read.parquet(path))
 
     def register_source(self, name: str, source: str, **options) -> None:
-        """A table of a registered Python data source."""
-        self.register_frame(name, self.session.read.format(source).options(**options).load())
+        """A table of a Python data source that the application's session knows."""
+        self.register_frame(name, self.spark.read.format(source).options(**options).load())
 
     def query(self, sql: str) -> DataFrame:
         """First the bundle is looked for, then the statement is checked."""

@@ -17,12 +17,18 @@ from .sources.contracts import BindingResolver, Caller, ContractSource, JsonCont
 _CONF = {"spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.runSQLOnFiles": "false"}
 
 
-def query_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for one query: same application and settings, no views of others."""
+def new_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of another, but without its views."""
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and session.conf.isModifiable(key):
             session.conf.set(key, value)
+    return session
+
+
+def query_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for one governed query."""
+    session = new_session(spark)
     for key, value in _CONF.items():
         session.conf.set(key, value)
     return session

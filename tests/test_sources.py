@@ -1,3 +1,4 @@
+import io
 import json
 import socket
 import struct
@@ -7,7 +8,7 @@ import pytest
 
 from pactspark.errors import BlobAccessDenied, BlobError, BlobRangeError, ContractError, SigningRefused, VerifyError
 from pactspark.policy import Deny, MaskAction
-from pactspark.sources.blob_store import BlobClient, BlobSource, SocketSigner
+from pactspark.sources.blob_store import BlobClient, BlobFile, BlobSource, BlobTable, SocketSigner
 from pactspark.sources.contracts import Caller
 from pactspark.sources.signed_bundle import BundleService, SignedBundle
 
@@ -103,7 +104,12 @@ def test_bundle_service(spark):
 @pytest.fixture
 def service(tmp_path):
     """A byte-range and signing service over one blob."""
-    path, blob = str(tmp_path / "s"), bytes(range(256)) * 40
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path, plain = str(tmp_path / "s"), bytes(range(256)) * 40
+    pq.write_table(pa.table({"id": list(range(100)), "name": [f"n{k}" for k in range(100)]}), tmp_path / "t.parquet", row_group_size=10)
+    blobs = {"a": plain, "t": (tmp_path / "t.parquet").read_bytes()}
     server = socket.socket(socket.AF_UNIX, socket.SOCK_STREAM)
     server.bind(path)
     server.listen(8)
@@ -117,6 +123,7 @@ def service(tmp_path):
             with c:
                 size = struct.unpack(">I", c.recv(4))[0]
                 q, body = json.loads(c.recv(size)), b""
+                blob = blobs.get(q.get("asset_id"), plain)
                 if q["opcode"] == "0x42":
                     answer = {"jws": "a.b.c", "kid": "k1"} if q["tenant_id"] == "acme" else {"error": "unknown tenant"}
                 elif q["principal_jwt"] != "token":
@@ -132,7 +139,7 @@ def service(tmp_path):
                 c.sendall(struct.pack(">I", len(raw)) + raw + body)
 
     threading.Thread(target=serve, daemon=True).start()
-    yield path, blob
+    yield path, plain
     server.close()
 
 
@@ -155,6 +162,31 @@ def test_blob_source(spark, service):
     assert b"".join(bytes(r.data) for r in df.orderBy("offset").collect()) == blob
 
 
+def test_blob_table(spark, service):
+    from pactspark.bundle_engine import BundleEngine, EngineConfig
+    from pactspark.policy import BundleHandle
+
+    spark.dataSource.register(BlobTable)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"socket": service[0], "asset": "t", "token": "token"}
+    df = spark.read.format("pact_blob_table").options(**options).load()
+    assert df.dtypes == [("id", "bigint"), ("name", "string")] and df.count() == 100
+    few = df.where("id >= 35 AND id < 42")
+    assert sorted(r.id for r in few.collect()) == list(range(35, 42)) and few.rdd.getNumPartitions() == 2
+    assert df.select("name").limit(3).count() == 3
+    e = BundleEngine(spark, EngineConfig("acme", "e", "/s", "/t"))
+    e.register_source("t", "pact_blob_table", **options)
+    e.inject_bundle(BundleHandle(b"b", "c", "acme"))
+    assert e.query("SELECT max(id) AS m FROM t").first().m == 99
+
+
+def test_blob_file(service):
+    f = BlobFile(BlobClient(service[0], "acme", "token"), "a")
+    assert f.read(3) == service[1][:3] and f.seek(-2, 2) == len(service[1]) - 2 and f.read() == service[1][-2:] and f.read(5) == b""
+    with pytest.raises((io.UnsupportedOperation, NotImplementedError)):
+        f.write(b"x")
+
+
 def test_signer(service):
     s = SocketSigner(service[0])
     assert s.sign("{}", "1", "acme") == "a.b.c" and s.key_id == "k1"
