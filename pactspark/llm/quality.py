@@ -173,7 +173,13 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on rows outside the held-out fold. Null labels and ids are left out."""
+    """Fit on rows outside the held-out fold; held-out labels are never read.
+
+    Rows with a null label or id are left out, null texts count as empty ones, and
+    of a labelled id that is repeated one text is taken. Without labels or without
+    documents every score is one half. ``max_labelled`` and ``max_unlabelled``
+    bound the samples that come to the driver, as features of N_FEATURES numbers.
+    """
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
