@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .errors import BindingFailed, ContractDenied, PactError, ResolutionFailed
 from .functions.noise import PrivacyBudget
-from .operators.govern import GovernedFrame, govern
+from .operators.govern import GovernedFrame, approve, govern
 from .plans.guard import reject_unsafe, relations
-from .policy import Deny
+from .plans.noised import noise_results
+from .policy import Deny, ResolvedPolicy
 from .sources.contracts import BindingResolver, Caller, ContractSource, JsonContracts
 
 _CONF = {"spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.runSQLOnFiles": "false"}
@@ -57,6 +58,28 @@ class Engine:
 
     def plan(self, sql: str, caller: Caller) -> tuple[DataFrame, dict[str, GovernedFrame]]:
         """The result, and the governed frame of each dataset in it."""
+        session, policies, times = self._resolved(sql, caller)
+        for name, policy in policies.items():
+            if policy.dp_columns and times[name] > 1:
+                raise PactError(f"dataset '{name}' has noise and occurs {times[name]} times; each reference would need noise of its own")
+        frames = {n: govern(self._bound(n, session), p, self.budget, n, self.null_mode, self.strict_columns) for n, p in policies.items()}
+        return self._run(session, sql, frames), frames
+
+    def query_noised(self, sql: str, caller: Caller, order_by: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+        """One aggregate query with noise on its results instead of on the rows.
+
+        The query must be an aggregation at its top. Results that come from
+        noised columns get noise of the sum of their scales, each noised column
+        pays once, and grouping by a noised column is refused. Ordering and
+        limiting are given apart, as they must not see the exact results.
+        """
+        session, policies, _ = self._resolved(sql, caller)
+        frames = {n: approve(self._bound(n, session), p, n).row_filter().mask(self.null_mode, strict_columns=self.strict_columns) for n, p in policies.items()}
+        out = noise_results(self._run(session, sql, frames), [p for p in policies.values() if p.dp_columns], self.budget)
+        out = out.orderBy(*order_by) if order_by else out
+        return out if limit is None else out.limit(limit)
+
+    def _resolved(self, sql: str, caller: Caller) -> tuple[SparkSession, dict[str, ResolvedPolicy], Counter]:
         reject_unsafe(sql)
         session = query_session(self.spark)
         times = Counter(relations(session, sql))
@@ -68,15 +91,16 @@ class Engine:
                 raise ResolutionFailed(name, e) from e
             if isinstance(policies[name].decision, Deny):
                 raise ContractDenied(name, policies[name].decision.reason)
-            if policies[name].dp_columns and times[name] > 1:
-                raise PactError(f"dataset '{name}' has noise and occurs {times[name]} times; each reference would need noise of its own")
-        frames = {}
-        for name, policy in policies.items():
-            try:
-                data = self.binding.bind(name, session)
-            except Exception as e:
-                raise BindingFailed(name, e) from e
-            frames[name] = govern(data, policy, self.budget, name, self.null_mode, self.strict_columns)
+        return session, policies, times
+
+    def _bound(self, name: str, session: SparkSession) -> DataFrame:
+        try:
+            return self.binding.bind(name, session)
+        except Exception as e:
+            raise BindingFailed(name, e) from e
+
+    @staticmethod
+    def _run(session: SparkSession, sql: str, frames: dict[str, GovernedFrame]) -> DataFrame:
         for name, frame in frames.items():
             frame.df.createOrReplaceTempView("`" + name.replace("`", "``") + "`")
-        return session.sql(sql.strip().rstrip(";")), frames
+        return session.sql(sql.strip().rstrip(";"))

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from pactspark.engine import Engine
-from pactspark.errors import BindingFailed, ContractDenied, ContractError, InvalidNoiseParameters, PactError, ResolutionFailed, UnknownColumn, UnknownMaskAction, UnsafeStatement
+from pactspark.errors import BindingFailed, BudgetExhausted, ContractDenied, ContractError, InvalidNoiseParameters, PactError, ResolutionFailed, UnknownColumn, UnknownMaskAction, UnsafeStatement
+from pactspark.functions.noise import PrivacyBudget
 from pactspark.sources.bindings import FirstOf, FrameBinding, ParquetBinding
 from pactspark.sources.contracts import Caller, JsonContracts
 
@@ -101,6 +102,32 @@ def test_noise_needs_a_reference_of_its_own(spark, parquet):
         e.query('SELECT * FROM "sales/orders/v1" a, "sales/orders/v1" b', OUTSIDER)
 
 
+def test_noise_on_results(spark, parquet):
+    dp = {"amount": {"sensitivity": 1, "epsilon": 1e12}}
+    budget = PrivacyBudget({("acme", "amount"): 3e12})
+    e = Engine.from_json_contracts(spark, [contract(parquet, dp_columns=dp, row_filter=None)], budget=budget)
+    q = 'SELECT region, round(sum(x), 3) AS s, count(*) AS n, max(order_id) AS m FROM (SELECT region, order_id, amount * 2 AS x FROM "sales/orders/v1") t GROUP BY region'
+    rows = [(r.region, round(r.s, 2), r.n, r.m) for r in e.query_noised(q, OUTSIDER, order_by=("region",)).collect()]
+    assert rows == [("APAC", 600.0, 1, 4), ("EU", 350.0, 2, 3), ("US", 860.0, 2, 5)] and budget.spent("acme", "amount") == 1e12
+    assert e.query_noised(q, OUTSIDER, order_by=("s",), limit=1).collect()[0].region == "EU"
+    loud = Engine.from_json_contracts(spark, [contract(parquet, dp_columns={"amount": {"sensitivity": 1000, "epsilon": 0.1}})])
+    first = loud.query_noised('SELECT avg(amount) AS a, count(*) AS n FROM "sales/orders/v1" a JOIN (SELECT 1 AS one) b ON one = 1', OUTSIDER).first()
+    assert abs(first.a - 87.5) > 1e-6 and first.n == 2
+    one, two = (loud.query_noised('SELECT sum(amount) AS a FROM "sales/orders/v1"', OUTSIDER).first().a for _ in range(2))
+    assert one != two
+    refused = ['SELECT amount FROM "sales/orders/v1"', 'SELECT round(amount) AS g, count(*) AS n FROM "sales/orders/v1" GROUP BY round(amount)', 'SELECT sum(amount) AS s FROM "sales/orders/v1" ORDER BY s', 'SELECT max(CAST(amount AS STRING)) AS s FROM "sales/orders/v1"', 'WITH c AS (SELECT amount FROM "sales/orders/v1") SELECT sum(amount) AS s FROM c', 'SELECT sum(x) AS s FROM (SELECT amount AS x FROM "sales/orders/v1" INTERSECT SELECT 1D) t', 'SELECT count(*) AS n FROM "sales/orders/v1" WHERE amount > 90', 'SELECT sum(r) AS s FROM (SELECT row_number() OVER (ORDER BY amount) AS r FROM "sales/orders/v1") t', 'SELECT count(*) AS n FROM (SELECT amount AS a FROM "sales/orders/v1" GROUP BY amount) t', 'SELECT count(*) AS n FROM "sales/orders/v1" WHERE order_id > (SELECT max(amount) FROM "sales/orders/v1")']
+    for q in refused:
+        with pytest.raises(PactError):
+            loud.query_noised(q, OUTSIDER)
+    union = loud.query_noised('SELECT sum(x) AS s FROM (SELECT 1D AS x UNION ALL SELECT amount FROM "sales/orders/v1") t', OUTSIDER).first()
+    assert abs(union.s - 176) > 1e-6
+    sub = loud.query_noised('SELECT count(*) + (SELECT sum(amount) FROM "sales/orders/v1") AS s FROM (SELECT 1) t', OUTSIDER).first()
+    assert abs(sub.s - 176) > 1e-6
+    with pytest.raises(BudgetExhausted):
+        for _ in range(3):
+            e.query_noised('SELECT sum(amount) AS s FROM "sales/orders/v1"', OUTSIDER)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.text(alphabet="abcé@'\\ ", min_size=5, max_size=12), st.sampled_from(["EU", "US", None])), max_size=8))
 def test_no_raw_value_gets_out(spark, rows):
