@@ -37,7 +37,9 @@ def tables_for(n: int, cosine: float = MIN_COSINE, recall: float = RECALL) -> tu
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def _signed(bits: int, tables: int, seed: int):
+def _signed(bits: int, tables: int, seed: int, kind: str):
+    """Hashes of each vector, and the vector itself as bytes of its own kind (``<f4`` or ``<f8``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = (1 << np.arange(bits)).astype(np.int64)
@@ -48,22 +50,27 @@ def _signed(bits: int, tables: int, seed: int):
             starts = np.cumsum(lens) - lens
             for dim in np.unique(lens):
                 at = np.flatnonzero(lens == dim)
-                x = flat[starts[at][:, None] + np.arange(dim)]
+                raw = flat[starts[at][:, None] + np.arange(dim)]
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), bits * tables))
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
+                x = _unit(raw)
                 signs = (x @ planes[dim] > 0).reshape(len(at), tables, bits) @ weights
                 codes = signs.astype("<i4")
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), m.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(list(codes)), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "m", "dim", "codes", "unit"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), m.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(list(codes)), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())], ["id", "m", "dim", "codes", "vector"])
 
     return run
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
 
-def _compared(cosine: float):
+def _compared(cosine: float, kind: str):
     """Rows come sorted by table, bucket and part; out come counts (n) and links (other)."""
 
     def job(table: int, side: np.ndarray, ids, m, codes, x) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +97,7 @@ def _compared(cosine: float):
         return counts, forest.root
 
     def work(cols: list) -> pa.RecordBatch:
-        key, dim, part, side, table, ids, m, codes, unit = cols
+        key, dim, part, side, table, ids, m, codes, vectors = cols
         edge = np.flatnonzero((key[1:] != key[:-1]) | (dim[1:] != dim[:-1]) | (table[1:] != table[:-1]) | (part[1:] != part[:-1])) + 1
         out: list[tuple] = []
         for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(key)]):
@@ -99,7 +106,7 @@ def _compared(cosine: float):
             s = side[lo:hi]
             if part[lo] >= 0 and part[lo] >> 16 != part[lo] & 65535 and (s.all() or not s.any()):
                 continue  # the other group of the pair has no rows
-            x = np.frombuffer(b"".join(unit[lo:hi]), "<f8").reshape(hi - lo, -1)
+            x = _unit(np.frombuffer(b"".join(vectors[lo:hi]), kind).reshape(hi - lo, -1))
             counts, root = job(int(table[lo]), s, ids[lo:hi], m[lo:hi], np.stack(codes[lo:hi]), x)
             own = ids[lo:hi]
             at = np.flatnonzero(counts)
@@ -138,6 +145,7 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE, recall: float =
     """
     spark = vectors.sparkSession
     small_batches(spark, "2000")
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -147,8 +155,8 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE, recall: float =
     groups = save(valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("v").alias("v")).withColumn("id", F.xxhash64("h1", "h2")), "vectors")
     n = groups.count()
     bits, tables = tables_for(n, cosine, recall)
-    hashed = save(groups.select("id", "m", "v").mapInArrow(_signed(bits, tables, seed), "id long, m long, dim int, codes array<int>, unit binary"), "hashes")
-    placed = hashed.select("id", "m", "dim", "codes", "unit", F.posexplode("codes").alias("table", "bucket"))
+    hashed = save(groups.select("id", "m", "v").mapInArrow(_signed(bits, tables, seed, kind), "id long, m long, dim int, codes array<int>, vector binary"), "hashes")
+    placed = hashed.select("id", "m", "dim", "codes", "vector", F.posexplode("codes").alias("table", "bucket"))
     # Buckets above a task's share: at most twice as many as there are partitions.
     n_parts = partitions(spark)
     least = max(LEAST_JOB, n * tables // (2 * n_parts))
@@ -161,13 +169,14 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE, recall: float =
     else:
         placed = placed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     part = F.least("i", "j") * 65536 + F.greatest("i", "j")
-    jobs = placed.select(F.col("bucket").cast("long").alias("key"), "dim", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"), "table", "id", "m", "codes", "unit")
+    jobs = placed.select(F.col("bucket").cast("long").alias("key"), "dim", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"), "table", "id", "m", "codes", "vector")
     order = ["table", "key", "dim", "part"]
-    found = save(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(cosine), "id long, other long, n long"), "links")
+    found = save(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(cosine, kind), "id long, other long, n long"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = groups.drop("v").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(counts, "id", "left")
-    firsts = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that the partition of a large component can be split in the join.
+    firsts = save(known.groupBy("root").agg(F.min("least").alias("component_id")), "firsts")
     known = known.join(firsts, "root").select("h1", "h2", "component_id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     # A row without a valid vector meets no group and needs no place of its own among the keys.
     own = rows.select("vec_id", "h1", "h2")
