@@ -34,7 +34,7 @@ DEPTH = 12  # bits of a block that are walked by the shuffle
 LEAST_JOB = 256
 CHUNK = 200_000  # rows that a task walks at a time, if no job is larger
 LEAF = 64  # node pairs with no more row pairs than this are compared row by row
-FRONT = 400_000  # node pairs that are walked at a time
+FRONT = 100_000  # node pairs that are walked at a time
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -159,7 +159,7 @@ def _compare(f0, f1, p, n1, n2, total, found) -> None:
     sizes = n1 * n2
     at = 0
     while at < len(p):
-        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 4_000_000)) + at)
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1_000_000)) + at)
         q, s, w = p[at:end], sizes[at:end], n2[at:end]
         of = np.repeat(np.arange(len(q)), s)
         k = np.arange(len(of)) - np.repeat(np.cumsum(s) - s, s)
@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int
     distinct = save(distinct.withColumn("id", F.col("f0") if words == 1 else F.xxhash64("f0", "f1")), "distinct")
     roots = components(links(distinct.select("id", "f0", "f1"), budget, words))
     rooted = distinct.join(roots, "id", "left").select("f0", "f1", "least", F.coalesce("root", "id").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    # A table of its own, so that the partition of a large component can be split in the join.
+    firsts = save(rooted.groupBy("root").agg(F.min("least").alias("first")), "firsts")
     named = rooted.join(firsts, "root").select("f0", "f1", "first")
     return marked.join(named, ["f0", "f1"]).select("key", "f0", "f1", "first")
 
