@@ -45,14 +45,15 @@ def _selected(lines: DataFrame, run_words: int, gram_words: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """``at, tie, runs`` for ``at, tie, text``: line intervals (from, upto, counted from 0) that repeat earlier lines."""
-    lines = save(_lines(docs), "lines")
+    lines = save(_lines(docs).dropDuplicates(["at", "tie"]), "lines")
     places = save(_selected(lines, run_words, gram_words), "grams")
     here = F.struct("at", "tie", "p")
     first = places.groupBy("hash").agg(F.min(here).alias("c"), F.count("*").alias("n")).where("n > 1").select("hash", "c")
+    # Tables of their own on both sides of each join, so that hot partitions can be split in it.
+    first = save(first, "firsts")
     met = places.join(first, "hash").where(here != F.col("c"))
     pairs = met.select("at", "tie", F.col("c.at").alias("c_at"), F.col("c.tie").alias("c_tie"), (F.col("p") - F.col("c.p")).alias("off")).distinct()
-    own = lines.dropDuplicates(["at", "tie"])
-    both = pairs.join(own, ["at", "tie"]).join(own.select(F.col("at").alias("c_at"), F.col("tie").alias("c_tie"), F.col("h").alias("c_h")), ["c_at", "c_tie"])
+    both = save(pairs, "pairs").join(lines, ["at", "tie"]).join(lines.select(F.col("at").alias("c_at"), F.col("tie").alias("c_tie"), F.col("h").alias("c_h")), ["c_at", "c_tie"])
     # Lines lo .. lo + len - 1 of the later document stand against lines lo - off ... of the first.
     both = both.withColumn("lo", F.greatest(F.lit(1), F.col("off") + 1)).withColumn("len", F.least(F.size("h") - F.col("lo") + 1, F.size("c_h") - F.col("lo") + F.col("off") + 1))
     same = "concat(zip_with(slice(h, lo, len), slice(c_h, lo - off, len), (x, y) -> x = y), array(false))"
@@ -75,8 +76,8 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
     """
     names = [c for c in docs.columns if c != "removed_lines"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.xxhash64("text").alias("tie"))
-    runs = repeated_runs(rows.select("at", "tie", F.col("row.text").alias("text")), run_words, gram_words)
-    joined = rows.join(runs, ["at", "tie"], "left")
+    runs = save(repeated_runs(rows.select("at", "tie", F.col("row.text").alias("text")), run_words, gram_words), "runs")
+    joined = rows.join(runs.hint("merge"), ["at", "tie"], "left")  # the same plan at every size
     joined = joined.withColumn("kept", F.expr("if(runs IS NULL, NULL, filter(split(row.text, '\\n'), (x, i) -> NOT exists(runs, r -> i BETWEEN r.b AND r.e)))"))
     text = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     joined = joined.withColumn("new_text", text)
