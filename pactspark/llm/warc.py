@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches
+from .common import new_folder, save, small_batches
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
 REVISIT_FROM = 1000  # payloads below this many bytes are always written in full
-FILE_ROWS = 32  # rows of about ROW_BYTES in one archive
+FILE_ROWS = 16  # rows of about ROW_BYTES in one archive
 ROW_BYTES = 1_000_000
 _END = b"\r\n\r\n"
 _SPACE = uuid.UUID("6f0a3c52-3d0f-5f0e-9a44-0f6d1c9b7e21")
@@ -91,9 +91,10 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html")).withColumn("digest", F.sha1("html"))
     large = F.octet_length("html") >= revisit_from
     first = rows.where(large).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = save(first, "responses")  # a table of its own, so that a hot digest's partition can be split in the join
     # Rows that are written in full whatever their digest need not meet a partner.
     key = F.when(F.octet_length("html") >= revisit_from, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string")))
-    joined = rows.withColumn("key", key).join(first, F.col("key") == F.col("of"), "left")
+    joined = rows.withColumn("key", key).join(first.hint("merge"), F.col("key") == F.col("of"), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -110,23 +111,55 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     writer.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
+def parse_records(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record, from bytes or pieces of them."""
+    pieces = iter((data,)) if isinstance(data, bytes) else data
+    held, at = b"", 0
+
+    def more() -> bool:
+        nonlocal held, at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        held, at = held[at:] + piece, 0
+        return True
+
+    while True:
+        while held[at : at + 2] == b"\r\n":
             at += 2
+        if len(held) - at < 2 and more():
+            continue
+        if at == len(held):
+            return
+        end = held.find(_END, at)
+        if end < 0 and more():
             continue
-        end = data.find(_END, at)
-        if not data.startswith(b"WARC/1.", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
+        if not held.startswith(b"WARC/1.", at) or end < 0:
+            raise ValueError("no WARC record where one should begin")
+        lines = held[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        at = start + int(fields["content-length"])
-        if at > len(data):
-            raise ValueError("a record is cut short")
-        yield fields, data[start:at]
+        head, length = end + 4 - at, int(fields["content-length"])
+        parts, size = [held[at:]], len(held) - at
+        while size < head + length:
+            piece = next(pieces, None)
+            if piece is None:
+                raise ValueError("a record is cut short")
+            parts.append(piece)
+            size += len(piece)
+        held, at = (b"".join(parts), 0) if len(parts) > 1 else (held, at)
+        yield fields, held[at + head : at + head + length]
+        at += head + length
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a gzip file, a part at a time."""
+    while data:
+        z = zlib.decompressobj(47)
+        part = z.decompress(data, ROW_BYTES)
+        while part:
+            yield part
+            part = z.decompress(z.unconsumed_tail, ROW_BYTES)
+        data = z.unused_data
 
 
 class HttpBody:
@@ -188,8 +221,9 @@ class HttpBody:
         return self.state == "done" or self.state == "plain"
 
 
-_SEGMENT = pa.schema([("origin", pa.string()), ("write", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())])
-_SEGMENT_SQL = "origin string, write string, number int, total long, type string, page_id long, url string, digest string, refers_to long, block binary"
+_SEGMENT = pa.schema([("origin", pa.string()), ("write", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary()), ("bytes", pa.int64()), ("ok", pa.bool_())])
+_SEGMENT_SQL = "origin string, write string, number int, total long, type string, page_id long, url string, digest string, refers_to long, block binary, bytes long, ok boolean"
+_WHOLE = 0  # number of a record that was decoded where it was read; its block stays behind
 _PAYLOAD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary())])
 _PAYLOAD_SQL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload binary"
 
@@ -198,20 +232,32 @@ def _number(x: str | None) -> int | None:
     return None if x in (None, "", "None") else int(x)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            data, rows, size = zlib.decompress(content.as_py(), 47) if content.as_py() else b"", [], 0
-            for f, block in parse_records(data):
-                n = _number(f.get("warc-segment-number"))
-                digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), f.get("write-id", ""), n or 1, _number(f.get("warc-segment-total-length")) if n else len(block), f["warc-type"], _number(f.get("page-id")), f.get("warc-target-uri"), digest, _number(f.get("refers-to-page-id")), block))
-                size += len(block)
-                if size > ROW_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SEGMENT)], schema=_SEGMENT)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SEGMENT)], schema=_SEGMENT)
+def _segments(keep: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SEGMENT)], schema=_SEGMENT)
+
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for f, block in parse_records(_inflated(content.as_py())):
+                    n = _number(f.get("warc-segment-number"))
+                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    row = (f.get("warc-segment-origin-id", f["warc-record-id"]), f.get("write-id", ""), n or 1, _number(f.get("warc-segment-total-length")) if n else len(block), f["warc-type"], _number(f.get("page-id")), f.get("warc-target-uri"), digest, _number(f.get("refers-to-page-id")), block, None, None)
+                    if n is None and not keep:
+                        one = _Payload(row, False)
+                        one.add(row)
+                        _, _, _, _, count, found, ok, _ = one.row()
+                        row = (*row[:2], _WHOLE, None, *row[4:7], found, row[8], None, count, ok)
+                    rows.append(row)
+                    size += len(row[9] or b"") + 200
+                    if size > ROW_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return run
 
 
 class _Payload:
@@ -255,6 +301,12 @@ def _assembled(keep: bool):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[2] == _WHOLE:
+                    out.append((row[5], row[6], row[4], row[8], row[10], row[7], row[11], None))
+                    if len(out) >= 1000:
+                        yield batch_of(out)
+                        out, size = [], 0
+                    continue
                 if now is None or key != row[:2]:
                     if now is not None:
                         out.append(now.row())
@@ -283,7 +335,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """
     small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    segments = files.mapInArrow(_segments, _SEGMENT_SQL).repartition("origin", "write")
+    segments = files.mapInArrow(_segments(payloads), _SEGMENT_SQL).repartition("origin", "write")
     return segments.sortWithinPartitions("origin", "write", "number").mapInArrow(_assembled(payloads), _PAYLOAD_SQL)
 
 
