@@ -43,26 +43,60 @@ def _selected(lines: DataFrame, run_words: int, gram_words: int) -> DataFrame:
     return lines.select("at", "tie", F.explode(found).alias("g")).select("at", "tie", "g.hash", "g.p")
 
 
-def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """``at, tie, runs`` for ``at, tie, text``: line intervals (from, upto, counted from 0) that repeat earlier lines."""
-    lines = save(_lines(docs).dropDuplicates(["at", "tie"]), "lines")
-    places = save(_selected(lines, run_words, gram_words), "grams")
+def _matches(places: DataFrame, key: str) -> DataFrame:
+    """Places with an earlier place of the same key, and the first of those as ``c``."""
     here = F.struct("at", "tie", "p")
-    first = places.groupBy("hash").agg(F.min(here).alias("c"), F.count("*").alias("n")).where("n > 1").select("hash", "c")
+    first = places.groupBy(key).agg(F.min(here).alias("c"), F.count("*").alias("n")).where("n > 1").select(key, "c")
     # Tables of their own on both sides of each join, so that hot partitions can be split in it.
-    first = save(first, "firsts")
-    met = places.join(first, "hash").where(here != F.col("c"))
-    pairs = met.select("at", "tie", F.col("c.at").alias("c_at"), F.col("c.tie").alias("c_tie"), (F.col("p") - F.col("c.p")).alias("off")).distinct()
-    both = save(pairs, "pairs").join(lines, ["at", "tie"]).join(lines.select(F.col("at").alias("c_at"), F.col("tie").alias("c_tie"), F.col("h").alias("c_h")), ["c_at", "c_tie"])
+    return places.join(save(first, "firsts"), key).where(here != F.col("c"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select("at", "tie", F.col("c.at").alias("c_at"), F.col("c.tie").alias("c_tie"), (F.col("p") - F.col("c.p")).alias("off")).distinct()
+
+
+def _extended(pairs: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
+    """``at, tie, runs``: line places (b, e, from 1) that equal the first document's along the offset, of run_words words or more."""
+    both = pairs.join(lines, ["at", "tie"]).join(lines.select(F.col("at").alias("c_at"), F.col("tie").alias("c_tie"), F.col("h").alias("c_h")), ["c_at", "c_tie"])
     # Lines lo .. lo + len - 1 of the later document stand against lines lo - off ... of the first.
     both = both.withColumn("lo", F.greatest(F.lit(1), F.col("off") + 1)).withColumn("len", F.least(F.size("h") - F.col("lo") + 1, F.size("c_h") - F.col("lo") + F.col("off") + 1))
     same = "concat(zip_with(slice(h, lo, len), slice(c_h, lo - off, len), (x, y) -> x = y), array(false))"
     step = f"""aggregate(sequence(1, len + 1), struct(0 AS w, 0 AS k, array_repeat(struct(0 AS b, 0 AS e), 0) AS runs),
         (a, s) -> if(same[s - 1], struct(a.w + n[lo + s - 2] AS w, a.k + 1 AS k, a.runs AS runs),
                   struct(0 AS w, 0 AS k, if(a.w >= {run_words}, array_append(a.runs, struct(lo + s - 1 - a.k AS b, lo + s - 2 AS e)), a.runs) AS runs))).runs"""
-    step = f"transform(array({same}), same -> {step})[0]"
-    runs = both.select("at", "tie", F.expr(f"transform({step}, r -> struct(i[r.b - 1] AS b, i[r.e - 1] AS e))").alias("runs")).where("size(runs) > 0")
-    return runs.groupBy("at", "tie").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    # A lambda's variable is evaluated once; a column would be put into each step of the loop in its place.
+    runs = both.select("at", "tie", F.expr(f"transform(array({same}), same -> {step})[0]").alias("runs")).where("size(runs) > 0")
+    return save(runs.groupBy("at", "tie").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "runs")
+
+
+def _windows(places: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
+    """``at, tie, hash, whole, p, e``: the shortest runs of run_words words, from p to e, whose lines hold a given gram (hash); whole is their own hash."""
+    shortest = f"aggregate(slice(n, s, {run_words}), struct(0 AS w, 0 AS k), (a, x) -> if(a.w >= {run_words}, a, struct(a.w + x AS w, a.k + 1 AS k)))"
+    each = f"transform(sequence(greatest(1, p - {run_words} + 1), p), s -> transform(array({shortest}), r -> if(r.w >= {run_words} AND s + r.k > p, struct(xxhash64(slice(h, s, r.k)) AS whole, s AS p, s + r.k - 1 AS e), NULL))[0])"
+    held = places.select("at", "tie", "p", "hash").join(lines, ["at", "tie"]).select("at", "tie", "hash", F.explode(F.expr(f"filter({each}, x -> x IS NOT NULL)")).alias("x"))
+    return held.select("at", "tie", "hash", "x.whole", "x.p", "x.e")
+
+
+def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    """``at, tie, runs`` for ``at, tie, text``: line intervals (b, e, counted from 0) that repeat earlier lines.
+
+    A gram's first occurrence may stand in a shorter repeat than later ones share.
+    Windows around matched grams that no run covers therefore go by their own hash
+    in a second round, in which the first occurrence of a window is a match by
+    itself. So every window that occurs earlier, anywhere, is in some run.
+    """
+    lines = save(_lines(docs).dropDuplicates(["at", "tie"]), "lines")
+    places = save(_selected(lines, run_words, gram_words), "grams")
+    met = save(_matches(places, "hash"), "met")
+    found = _extended(save(_pairs(met), "pairs"), lines, run_words)
+    around = _windows(met, lines, run_words).join(found, ["at", "tie"], "left")
+    bare = around.where("NOT coalesce(exists(runs, r -> r.b <= p AND r.e >= e), false)").select("hash").distinct()
+    windows = _windows(places.join(save(bare, "bare"), "hash", "left_semi"), lines, run_words)
+    windows = save(windows.select("at", "tie", "whole", "p").distinct(), "windows")
+    more = _extended(save(_pairs(_matches(windows, "whole")), "pairs"), lines, run_words)
+    both = found.unionByName(more).select("at", "tie", F.explode("runs").alias("r")).distinct()
+    both = both.join(lines.select("at", "tie", "i"), ["at", "tie"]).select("at", "tie", F.expr("struct(i[r.b - 1] AS b, i[r.e - 1] AS e)").alias("r"))
+    return both.groupBy("at", "tie").agg(F.collect_list("r").alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
