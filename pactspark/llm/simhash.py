@@ -111,6 +111,43 @@ class _Forest:
                 root[:] = up
 
 
+class _Pairs(_Forest):
+    """A forest that keeps the pair that joined two trees, the closest ones of each batch first."""
+
+    def __init__(self, n: int, f0: np.ndarray, f1: np.ndarray):
+        super().__init__(n)
+        self.f0, self.f1 = f0, f1
+        self.used: list[tuple[int, int]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return
+        far = np.bitwise_count(self.f0[a] ^ self.f0[b]).astype(np.int64) + np.bitwise_count(self.f1[a] ^ self.f1[b])
+        order = np.argsort(far, kind="stable")
+        a, b = a[order], b[order]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x)) is not None:
+                up[x] = y = up.get(y, y)
+                x = y
+            return x
+
+        for u, v, x, y in zip(a.tolist(), b.tolist(), root[a].tolist(), root[b].tolist()):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                self.used.append((u, v))
+        jump = np.arange(len(root))
+        jump[list(up)] = list(up.values())
+        while not np.array_equal(jump, up_ := jump[jump]):
+            jump = up_
+        self.root = jump[root]
+
+
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """For each sorted range, where the bit at ``depth`` turns to one."""
     shift = (63 - depth).astype(np.uint64)
@@ -174,8 +211,12 @@ def _compare(f0, f1, p, n1, n2, total, found) -> None:
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _joined(budget: int, total: int, words: int):
-    """Jobs come sorted by key; each is one row range, or two by side."""
+def _joined(budget: int, total: int, words: int, direct: bool):
+    """Jobs come sorted by key; each is one row range, or two by side.
+
+    Out come stars of the components found; with ``direct`` the pairs that joined
+    them, in steps of rising distance, so that each is about the closest that could.
+    """
 
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, side, f0, f1, vid, part = cols
@@ -199,12 +240,17 @@ def _joined(budget: int, total: int, words: int):
         x, y = (key[lo] >> 24) & 0xFFFFFF, key[lo] & 0xFFFFFF
         pairs[:, 5] = np.bitwise_count(x ^ y)
         pairs = pairs[two | (x == y)]  # only one side of a pair of nodes came: nothing to join
-        forest = _Forest(len(vid))
+        forest = _Pairs(len(vid), u0, u1) if direct else _Forest(len(vid))
         # A fingerprint comes once to each job, and so may stand at several places of a chunk.
         ids, place = np.unique(vid, return_inverse=True)
         first = np.full(len(ids), len(vid))
         np.minimum.at(first, place, np.arange(len(vid)))
         forest.root[:] = first[place]
+        if direct:
+            for level in sorted({total // 4, total // 2, 3 * total // 4, total}):
+                walk(values, u0, u1, pairs, min(budget, level), level, forest.add)
+            links = np.array(forest.used, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(vid[links[:, 0]]), pa.array(vid[links[:, 1]])], schema=_EDGE)
         walk(values, u0, u1, pairs, budget, total, forest.add)
         member = np.flatnonzero(vid != vid[forest.root])
         links = np.unique(np.column_stack([vid[forest.root[member]], vid[member]]), axis=0) if len(member) else np.zeros((0, 2), np.int64)
@@ -233,8 +279,12 @@ def _masks(errors: int) -> list[int]:
     return [sum(1 << k for k in bits) for n in range(errors + 1) for bits in combinations(range(DEPTH), n)]
 
 
-def links(fps: DataFrame, budget: int, words: int = 1) -> DataFrame:
-    """A spanning forest, as ``a, b``, of all pairs of distinct ``id, f0, f1`` within ``budget`` differing bits."""
+def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, reach: int | None = None) -> DataFrame:
+    """Spanning forests, as ``a, b``, of all pairs of distinct ``id, f0, f1`` within ``budget`` differing bits.
+
+    With ``reach``, above the budget, also those pairs within ``reach`` bits that
+    are within a word's share of the budget in one word. With ``direct`` each row is such a pair itself, otherwise it may stand for a way over others.
+    """
     spark = fps.sparkSession
     small_batches(spark, "20000")
     share = budget // words
@@ -267,14 +317,36 @@ def links(fps: DataFrame, budget: int, words: int = 1) -> DataFrame:
     lo, hi = F.when(swap, F.col("j")).otherwise(F.col("i")), F.when(swap, F.col("i")).otherwise(F.col("j"))
     jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo * 65536 + hi).alias("part"))
     dealt = jobs.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(_joined(share, budget, words), "a long, b long")
+    return dealt.mapInArrow(_joined(share, reach or budget, words, direct), "a long, b long")
+
+
+def _shingled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    return run
+
+
+def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the edges whose texts have a Jaccard similarity of ``least`` or more over their sets of shingles."""
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    wanted = save(distinct.join(ends, "id").select("id", F.col("least").alias("key")), "wanted")
+    texts = docs.select("key", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "key").groupBy("id").agg(F.min("text").alias("text"))
+    small_batches(edges.sparkSession)
+    sets = save(texts.mapInArrow(_shingled(width), "id long, s array<long>"), "sets")
+    both = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(F.size(F.array_intersect("sa", "sb")) >= least * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int = 19) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int = 19, least: float | None = None, reach: int | None = None) -> DataFrame:
     """``key, f0, f1, first``: ``first`` is the least key of the row's component.
 
     ``docs`` has ``key`` of a type with an order and ``text``. The defaults take five words and a
-    similarity of 0.8: of 128 bits, 19.4 differ then on average. A null text is
+    similarity of 0.8: of 128 bits, 19.4 differ then on average. With ``least``
+    the links of the spanning forests are held against the texts themselves; links
+    of equal fingerprints are not; ``reach`` (see links) then finds more pairs for it. A null text is
     an empty one, and texts without words have the fingerprint zero, linked like
     any other. Rows with a null key are linked but never first while others are.
     Repeated rows stay; an empty table gives none.
@@ -282,7 +354,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int
     marked = save(fingerprints(docs, width, words), "simhash")
     distinct = marked.groupBy("f0", "f1").agg(F.min("key").alias("least"))
     distinct = save(distinct.withColumn("id", F.col("f0") if words == 1 else F.xxhash64("f0", "f1")), "distinct")
-    roots = components(links(distinct.select("id", "f0", "f1"), budget, words))
+    edges = links(distinct.select("id", "f0", "f1"), budget, words, least is not None, reach)
+    if least is not None:
+        edges = similar(save(edges.distinct(), "edges"), distinct, docs, width, least)
+    roots = components(edges)
     rooted = distinct.join(roots, "id", "left").select("f0", "f1", "least", F.coalesce("root", "id").alias("root"))
     # A table of its own, so that the partition of a large component can be split in the join.
     firsts = save(rooted.groupBy("root").agg(F.min("least").alias("first")), "firsts")
@@ -299,7 +374,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("at"), F.xxhash64("text").alias("tie"))
     found = near_duplicates(docs.select(key.alias("key"), "text"), **options)
     kept = save(found.where("key = first").groupBy(F.col("key").alias("kept_key")).agg(F.count("*").alias("copies")), "kept")
-    left = docs.withColumn("kept_key", key).join(kept.drop("copies"), "kept_key", "left_semi")
+    # The columns of docs stand in a struct, where no name can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("kept_key"))
+    left = rows.join(kept.drop("copies").hint("merge"), "kept_key", "left_semi")
     if not kept.where("copies > 1").isEmpty():
         left = left.dropDuplicates(["kept_key"])
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -125,9 +125,37 @@ def test_simhash_with_hot_nodes(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_exact_similarity(spark, sf):
+    """With ``least`` documents go for partners of that similarity only, and nearly all such pairs are found."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, least=0.8, reach=26).collect()}
+    sets, at = {}, defaultdict(list)
+    for k, t in texts.items():
+        w = t.lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        for x in sets[k]:
+            at[x].append(k)
+    near = {(a, b) for ks in at.values() for a in ks for b in ks if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and all(any(k in p for p in near) for k in texts.keys() - kept)
+    assert np.mean([a in kept and b in kept for a, b in near]) < 0.05
+
+
+def test_direct_links_are_close_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 2)
+    rows = [(k, int(base[0]) ^ (1 << int(a)), int(base[1]) ^ (1 << int(b))) for k, (a, b) in enumerate(rng.integers(0, 62, (80, 2)))]
+    found = [(r.a, r.b) for r in simhash.links(spark.createDataFrame(rows, "id long, f0 long, f1 long"), 19, 2, direct=True).collect()]
+    assert found and all(bin(rows[a][1] ^ rows[b][1]).count("1") + bin(rows[a][2] ^ rows[b][2]).count("1") <= 4 for a, b in found)
+    forest = simhash._Forest(80)
+    forest.add(*np.array(found).T)
+    assert (forest.root == 0).all()
+
+
 def test_simhash_of_messy_rows(messy):
     found = simhash.near_duplicates(messy.select(F.col("doc_id").alias("key"), "text"), 4, 1, 4).collect()
     assert len(found) == 9 and {r["first"] for r in found if r.f0 == 0} == {2}
+    assert simhash.drop_near_duplicates(messy, least=0.8, reach=26).count() == simhash.drop_near_duplicates(messy).count()
     kept = simhash.drop_near_duplicates(messy)
     assert kept.columns == messy.columns
     assert sorted(((r.doc_id, (r.text or "")[:5]) for r in kept.collect()), key=str)[:2] == [(1, "a b c"), (1, "other")]
