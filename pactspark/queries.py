@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
     "q41_window_frames": 'SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS q, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 6) AS pr, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 6) AS cd, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS BIGINT) AS dr FROM "sales/orders/v1" t',
     "q42_string_functions": "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 2, 5) AS s, replace(p_type, ' ', '_') AS r, concat_ws('-', p_name, p_type) AS w, left(p_name, 3) AS l, lpad(p_name, 30, '.') AS lp, reverse(p_name) AS rv, translate(p_name, 'abc', 'xyz') AS t, split_part(p_type, ' ', 1) AS sp, ascii(p_name) AS a, repeat(p_name, 2) AS rp FROM \"sales/part/v1\" t",
     "q43_math_functions": "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_retailprice), 6) AS s, CAST(floor(p_retailprice) AS DOUBLE) AS f, CAST(ceil(p_retailprice) AS DOUBLE) AS c, round(ln(p_retailprice), 6) AS l, round(power(p_size, 2), 6) AS p, greatest(p_size, 10) AS g, least(p_size, 10) AS ls, coalesce(nullif(p_size, 1), -1) AS nf, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS k, CAST(sign(p_size - 25) AS INT) AS sg, p_size % 7 AS m, round(sin(p_size), 6) AS sn, round(atan2(p_size, 3), 6) AS at FROM \"sales/part/v1\" t",
-    "q44_date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS dt, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS q FROM \"sales/orders/v1\" t",
+    "q44_date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR(10)) AS mo, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS dt, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS q FROM \"sales/orders/v1\" t",
     "q45_regex_functions": "SELECT p_partkey, regexp_replace(p_name, '[0-9]', 'N') AS r FROM \"sales/part/v1\" t WHERE p_type LIKE '%E%'",
     "q46_hash_functions": 'SELECT p_partkey, md5(p_name) AS m, lower(hex(p_size)) AS h FROM "sales/part/v1" t',
     "q48_order_limit_offset": 'SELECT o_orderkey FROM "sales/orders/v1" t ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET 5',
