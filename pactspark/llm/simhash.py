@@ -35,6 +35,7 @@ LEAST_JOB = 256
 CHUNK = 200_000  # rows that a task walks at a time, if no job is larger
 LEAF = 64  # node pairs with no more row pairs than this are compared row by row
 FRONT = 100_000  # node pairs that are walked at a time
+MORE = 16  # candidates of a row that are verified after a refused link, times this in each round
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -148,6 +149,42 @@ class _Pairs(_Forest):
         self.root = jump[root]
 
 
+class _Nearest:
+    """The ``most`` closest partners of each index, and which indices have more than those."""
+
+    def __init__(self, most: int, root: np.ndarray, first: np.ndarray, f0: np.ndarray, f1: np.ndarray):
+        self.most, self.root, self.first, self.f0, self.f1 = most, root.copy(), first, f0, f1
+        self.rows = np.zeros((0, 3), np.int64)  # index, partner, differing bits
+        self.more = np.zeros(len(root), bool)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.first[a], self.first[b]
+        open_ = self.root[a] != self.root[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return
+        far = np.bitwise_count(self.f0[a] ^ self.f0[b]).astype(np.int64) + np.bitwise_count(self.f1[a] ^ self.f1[b])
+        self.waiting += [np.column_stack([a, b, far]), np.column_stack([b, a, far])]
+        self.size += 2 * len(a)
+        if self.size > max(1_000_000, len(self.rows)):
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        rows = np.concatenate([self.rows, *self.waiting])
+        self.waiting, self.size = [], 0
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+        if len(rows):
+            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]]
+            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+            self.more[rows[rank >= self.most, 0]] = True
+            rows = rows[rank < self.most]
+        self.rows = rows
+        return rows
+
+
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """For each sorted range, where the bit at ``depth`` turns to one."""
     shift = (63 - depth).astype(np.uint64)
@@ -208,18 +245,27 @@ def _compare(f0, f1, p, n1, n2, total, found) -> None:
         at = end
 
 
+def _firsts(ids: np.ndarray) -> np.ndarray:
+    """Where each of the ids stands first."""
+    _, at, place = np.unique(ids, return_index=True, return_inverse=True)
+    return at[place]
+
+
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _joined(budget: int, total: int, words: int, direct: bool):
+def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
     """Jobs come sorted by key; each is one row range, or two by side.
 
     Out come stars of the components found; with ``direct`` the pairs that joined
     them, in steps of rising distance, so that each is about the closest that could.
+    With ``most`` rows are of a component already, and pairs between components come
+    out: those that join trees, the ``most`` closest of each row, and a loop for
+    each row that has more.
     """
 
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, side, f0, f1, vid, part = cols
+        key, side, f0, f1, vid, part, comp = cols if most else [*cols, cols[4]]
         u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
         block = (key >> 48).astype(np.int64) & 15
         word = np.where(block >= BLOCKS, u1, u0)
@@ -227,7 +273,7 @@ def _joined(budget: int, total: int, words: int, direct: bool):
         values = np.where(turn == 0, word, (word << turn) | (word >> ((np.uint64(64) - turn) % np.uint64(64))))
         job = np.r_[0, np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))]
         order = np.lexsort((values, side, job))
-        job, side, values, u0, u1, vid, key = job[order], side[order], values[order], u0[order], u1[order], vid[order], key[order]
+        job, side, values, u0, u1, vid, key, comp = job[order], side[order], values[order], u0[order], u1[order], vid[order], key[order], comp[order]
         starts = np.r_[0, np.flatnonzero(job[1:] != job[:-1]) + 1, len(job)]
         lo, hi = starts[:-1], starts[1:]
         ones = np.r_[0, np.cumsum(side == 1)]
@@ -242,14 +288,22 @@ def _joined(budget: int, total: int, words: int, direct: bool):
         pairs = pairs[two | (x == y)]  # only one side of a pair of nodes came: nothing to join
         forest = _Pairs(len(vid), u0, u1) if direct else _Forest(len(vid))
         # A fingerprint comes once to each job, and so may stand at several places of a chunk.
-        ids, place = np.unique(vid, return_inverse=True)
-        first = np.full(len(ids), len(vid))
-        np.minimum.at(first, place, np.arange(len(vid)))
-        forest.root[:] = first[place]
+        forest.root[:] = _firsts(comp)
         if direct:
+            near = _Nearest(most, forest.root, _firsts(vid), u0, u1) if most else None
+
+            def found(a: np.ndarray, b: np.ndarray) -> None:
+                forest.add(a, b)
+                near.add(a, b)
+
             for level in sorted({total // 4, total // 2, 3 * total // 4, total}):
-                walk(values, u0, u1, pairs, min(budget, level), level, forest.add)
+                walk(values, u0, u1, pairs, min(budget, level), level, found if most and level == total else forest.add)
             links = np.array(forest.used, np.int64).reshape(-1, 2)
+            if most:
+                closest, more = near.settle()[:, :2], np.flatnonzero(near.more)
+                links = np.concatenate([links, closest, np.column_stack([more, more])])
+                links = np.unique(np.sort(vid[links], axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=_EDGE)
             return pa.RecordBatch.from_arrays([pa.array(vid[links[:, 0]]), pa.array(vid[links[:, 1]])], schema=_EDGE)
         walk(values, u0, u1, pairs, budget, total, forest.add)
         member = np.flatnonzero(vid != vid[forest.root])
@@ -279,11 +333,13 @@ def _masks(errors: int) -> list[int]:
     return [sum(1 << k for k in bits) for n in range(errors + 1) for bits in combinations(range(DEPTH), n)]
 
 
-def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, reach: int | None = None) -> DataFrame:
+def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, reach: int | None = None, most: int = 0) -> DataFrame:
     """Spanning forests, as ``a, b``, of all pairs of distinct ``id, f0, f1`` within ``budget`` differing bits.
 
     With ``reach``, above the budget, also those pairs within ``reach`` bits that
     are within a word's share of the budget in one word. With ``direct`` each row is such a pair itself, otherwise it may stand for a way over others.
+    With ``most``, and ``direct``, rows have a component ``comp``; pairs within one are left out, and beside the
+    forests' pairs come the ``most`` closest of each row and a loop ``a, a`` for each row that has more.
     """
     spark = fps.sparkSession
     small_batches(spark, "20000")
@@ -300,7 +356,8 @@ def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, rea
         return F.expr(f"shiftrightunsigned({value}, {64 - DEPTH})")
 
     blocks = F.array(*(F.struct(F.lit(b).alias("block"), top(b, (b % BLOCKS) * size).alias("x")) for b in range(BLOCKS * words)))
-    placed = fps.select(F.col("id"), "f0", "f1", F.explode(blocks).alias("at")).select("id", "f0", "f1", "at.block", "at.x")
+    comp = ["comp"] if most else []
+    placed = fps.select(F.col("id"), "f0", "f1", *comp, F.explode(blocks).alias("at")).select("id", "f0", "f1", *comp, "at.block", "at.x")
     hot = placed.groupBy("block", "x").count().where(F.col("count") > least).select("block", "x", F.ceil(F.col("count") / least).cast("int").alias("g"))
     hot_rows = [(r["block"], r["x"], r["g"]) for r in hot.collect()]  # at most 2 * n_parts nodes are that large
     masks = F.array(*map(F.lit, _masks(errors)))
@@ -315,9 +372,9 @@ def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, rea
     swap = (F.col("x") > F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("i") > F.col("j")))
     key = F.expr("shiftleft(cast(block as long), 48) | shiftleft(least(x, y), 24) | greatest(x, y)")
     lo, hi = F.when(swap, F.col("j")).otherwise(F.col("i")), F.when(swap, F.col("i")).otherwise(F.col("j"))
-    jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo * 65536 + hi).alias("part"))
+    jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo * 65536 + hi).alias("part"), *comp)
     dealt = jobs.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(_joined(share, reach or budget, words, direct), "a long, b long")
+    return dealt.mapInArrow(_joined(share, reach or budget, words, direct, most), "a long, b long")
 
 
 def _shingled(width: int):
@@ -329,6 +386,21 @@ def _shingled(width: int):
     return run
 
 
+def _held(least: float):
+    """Of rows ``a, b`` and both sets of hashes, those that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = shared >= least * (len(x) + len(y) - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """Those of the edges whose texts have a Jaccard similarity of ``least`` or more over their sets of shingles."""
     ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
@@ -337,7 +409,37 @@ def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, width: int,
     small_batches(edges.sparkSession)
     sets = save(texts.mapInArrow(_shingled(width), "id long, s array<long>"), "sets")
     both = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(F.size(F.array_intersect("sa", "sb")) >= least * F.size(F.array_union("sa", "sb"))).select("a", "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_held(least), "a long, b long")
+
+
+def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budget: int, least: float, reach: int | None) -> DataFrame:
+    """Links whose texts have a similarity of ``least`` or more, with the components of all such candidates.
+
+    A refused link may have hidden others between the trees it joined. So the
+    components with a refused link to another are walked again for candidates
+    between components, with MORE times as many a row each time, until no row has
+    a candidate that was not held against the texts.
+    """
+    fps = distinct.select("id", "f0", "f1")
+    edges = save(links(fps, budget, words, True, reach).distinct(), "edges")
+    good = save(similar(edges, distinct, docs, width, least), "links")
+    open_, most = None, MORE
+    while True:
+        roots = components(good)
+        ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"c{c}")) for c in "ab"]
+        parted = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        parted = save(parted.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct(), "parted")
+        if parted.isEmpty():
+            return good
+        rows = fps if open_ is None else fps.join(open_, "id")
+        rows = rows.join(roots, "id", "left").select("id", "f0", "f1", F.coalesce("root", "id").alias("comp")).join(parted, "comp")
+        rows = save(rows.select("id", "f0", "f1", "comp"), "rows")
+        if rows.isEmpty():
+            return good
+        found = save(links(rows, budget, words, True, reach, most).distinct(), "edges")
+        open_, edges = found.where("a = b").select(F.col("a").alias("id")), found.where("a <> b")
+        good = save(good.union(similar(edges, distinct, docs, width, least)), "links")
+        most *= MORE
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int = 19, least: float | None = None, reach: int | None = None) -> DataFrame:
@@ -345,8 +447,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int
 
     ``docs`` has ``key`` of a type with an order and ``text``. The defaults take five words and a
     similarity of 0.8: of 128 bits, 19.4 differ then on average. With ``least``
-    the links of the spanning forests are held against the texts themselves; links
-    of equal fingerprints are not; ``reach`` (see links) then finds more pairs for it. A null text is
+    candidates are held against the texts themselves until all that join components
+    are (see verified); links of equal fingerprints are not; ``reach`` (see links) then finds more pairs for it. A null text is
     an empty one, and texts without words have the fingerprint zero, linked like
     any other. Rows with a null key are linked but never first while others are.
     Repeated rows stay; an empty table gives none.
@@ -354,9 +456,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int
     marked = save(fingerprints(docs, width, words), "simhash")
     distinct = marked.groupBy("f0", "f1").agg(F.min("key").alias("least"))
     distinct = save(distinct.withColumn("id", F.col("f0") if words == 1 else F.xxhash64("f0", "f1")), "distinct")
-    edges = links(distinct.select("id", "f0", "f1"), budget, words, least is not None, reach)
-    if least is not None:
-        edges = similar(save(edges.distinct(), "edges"), distinct, docs, width, least)
+    if least is None:
+        edges = links(distinct.select("id", "f0", "f1"), budget, words)
+    else:
+        edges = verified(distinct, docs, width, words, budget, least, reach)
     roots = components(edges)
     rooted = distinct.join(roots, "id", "left").select("f0", "f1", "least", F.coalesce("root", "id").alias("root"))
     # A table of its own, so that the partition of a large component can be split in the join.

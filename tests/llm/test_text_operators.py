@@ -141,6 +141,28 @@ def test_exact_similarity(spark, sf):
     assert np.mean([a in kept and b in kept for a, b in near]) < 0.05
 
 
+def edited_copies(n, part, seed=8):
+    """Copies of one text of 400 words with a part of them replaced, and which pairs have a Jaccard similarity of 0.8."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 5000, 400)
+    texts = [" ".join(f"w{x}" for x in np.where(rng.random(400) < part, rng.integers(5000, 10**6, 400), base)) for _ in range(n)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    return texts, np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+
+
+def test_all_candidates_of_a_group_are_verified(spark):
+    """A refused candidate must not hide others between the same trees."""
+    texts, near = edited_copies(200, 0.012)
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = sorted((r.key, r["first"]) for r in simhash.near_duplicates(docs, least=0.8, reach=26).collect())
+    f = np.array([[r.f0, r.f1] for r in sorted(simhash.fingerprints(docs, 5, 2).collect())]).view(np.uint64)
+    far = np.bitwise_count(f[:, None] ^ f).astype(int)
+    candidates = near & (far.sum(2) <= 26) & (far.min(2) <= 9)
+    first, true = np.array([b for _, b in found]), roots(len(texts), lambda k: near[k])
+    a, b = np.nonzero(candidates)
+    assert len(a) > len(texts) and (first[a] == first[b]).all() and (true[first] == true).all()
+
+
 def test_direct_links_are_close_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 2)
