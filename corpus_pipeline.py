@@ -29,8 +29,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target weights."""
-    return mixing.mix(docs).where("sampled").select(*docs.columns)
+    """Documents are sampled to the target weights; fewer are kept where the corpus cannot meet them otherwise."""
+    return mixing.mix(docs, exact=True).where("sampled").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

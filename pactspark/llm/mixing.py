@@ -45,7 +45,7 @@ def with_cells(docs: DataFrame, targets: dict[str, dict[str, float | None]]) ->
     return rows
 
 
-def cell_rates(cells: DataFrame, targets: dict[str, dict[str, float | None]], keep: float | None = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+def cell_rates(cells: DataFrame, targets: dict[str, dict[str, float | None]], keep: float | None = KEEP, sweeps: int = SWEEPS, exact: bool = False) -> DataFrame:
     """``c0, c1, ..., rate``: probability of each cell's documents. ``cells`` has the sums of tokens.
 
     All cells stand in one row; there are at most MOST_CELLS. Classes without
@@ -90,17 +90,19 @@ def cell_rates(cells: DataFrame, targets: dict[str, dict[str, float | None]], ke
         got = "aggregate(zip_with(r, cells, (x, c) -> least(1D, x * (b.lo + b.hi) / 2) * c.t), 0D, (a, x) -> a + x)"
         halved = f"(b, _n) -> if({got} < {wanted}, struct((b.lo + b.hi) / 2 AS lo, b.hi AS hi), struct(b.lo AS lo, (b.lo + b.hi) / 2 AS hi))"
         one = one.withColumn("scale", F.expr(f"aggregate(sequence(1, {_HALVINGS}), struct(0D AS lo, 1 / array_min(filter(r, x -> x > 0)) AS hi), {halved}).hi"))
+    if exact:
+        one = one.withColumn("scale", F.least("scale", F.expr("1 / array_max(r)")))
     each = one.select("scale", F.explode(F.arrays_zip("cells", "r", "w")).alias("x"))
     rate = F.least(F.lit(1.0), F.coalesce(F.col("x.r") * F.col("scale"), F.lit(1.0)))
     return each.select(*(F.col(f"x.cells.c{k}").alias(f"c{k}") for k in dims), F.round(rate, 9).alias("rate"), F.round("x.w", 9).alias("weight"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float | None]] | None = None, keep: float | None = KEEP, seed: str = "mix", sweeps: int = SWEEPS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float | None]] | None = None, keep: float | None = KEEP, seed: str = "mix", sweeps: int = SWEEPS, exact: bool = False) -> DataFrame:
     """``docs`` with ``topic, tokens, weight, probability, sampled``.
 
     The sample has ``keep`` of all tokens on average; cells that would need more
     tokens than they have are taken whole. Without ``keep`` it is the largest one
-    that has the target weights exactly.
+    that has the target weights exactly; with ``exact`` that one too, if it has less than ``keep``.
 
     Sampling goes by a hash of seed and doc_id (of the text, if that is null), so
     it repeats exactly. Documents without tokens are always sampled, as they
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float | None]] | None = No
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "text", "source", "lang", *others)
     rows = with_cells(rows, targets)
     keys = [f"c{k}" for k in range(len(targets))]
-    rates = cell_rates(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), targets, keep, sweeps)
+    rates = cell_rates(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), targets, keep, sweeps, exact)
     out = rows.join(F.broadcast(rates), keys, "left")  # at most MOST_CELLS rows
     lot = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     p = F.coalesce("rate", F.lit(1.0))

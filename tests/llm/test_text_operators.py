@@ -267,6 +267,24 @@ def test_mixing_against_numpy(documents):
         assert abs(w[key] - v) < 1e-6
 
 
+def test_exact_mixing_with_another_hot_source(spark, sf):
+    """The pipeline's stage has the target shares, whichever source is hot."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("src7")).otherwise(F.col("source")))
+    out = mixing.mix(docs, exact=True).select("doc_id", "source", "lang", "tokens", "probability", "sampled").toPandas()
+    mass = out["tokens"] * out["probability"]
+    for name in ("source", "lang"):
+        shares = mixing.TARGETS[name]
+        classes = out[name].where(out[name].isin(list(shares)), "*")
+        goal = {k: v for k, v in shares.items() if k in set(classes)}
+        got = mass.groupby(classes).sum() / mass.sum()
+        assert all(abs(got[k] - v / sum(goal.values())) < 1e-3 for k, v in goal.items())
+    print("kept share of tokens", mass.sum() / out["tokens"].sum(), "src0", mass[out["source"] == "src0"].sum() / mass.sum())
+    assert corpus_pipeline.mixing_stage(spark, docs, sf).count() == out["sampled"].sum()
+
+
 def test_mixing_of_messy_rows(messy):
     out = mixing.mix(messy)
     rows = out.collect()
