@@ -296,7 +296,7 @@ def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
                 forest.add(a, b)
                 near.add(a, b)
 
-            for level in sorted({total // 4, total // 2, 3 * total // 4, total}):
+            for level in sorted({total // 4, total}):
                 walk(values, u0, u1, pairs, min(budget, level), level, found if most and level == total else forest.add)
             links = np.array(forest.used, np.int64).reshape(-1, 2)
             if most:
@@ -336,19 +336,20 @@ def _masks(errors: int) -> list[int]:
 def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, reach: int | None = None, most: int = 0) -> DataFrame:
     """Spanning forests, as ``a, b``, of all pairs of distinct ``id, f0, f1`` within ``budget`` differing bits.
 
-    With ``reach``, above the budget, also those pairs within ``reach`` bits that
-    are within a word's share of the budget in one word. With ``direct`` each row is such a pair itself, otherwise it may stand for a way over others.
+    ``reach`` takes the budget's place, if given. The bound is the same in nodes of any size: a
+    word's share of it is walked, in blocks whose errors add up to no less. With ``direct`` each row is such a pair itself, otherwise it may stand for a way over others.
     With ``most``, and ``direct``, rows have a component ``comp``; pairs within one are left out, and beside the
     forests' pairs come the ``most`` closest of each row and a loop ``a, a`` for each row that has more.
     """
     spark = fps.sparkSession
     small_batches(spark, "20000")
-    share = budget // words
-    errors = share // BLOCKS
+    share = (reach or budget) // words
+    # One of the word's blocks has no more errors than are allowed for it: more in each would be over the share.
+    masks = [_masks(max(0, (share + 1) // BLOCKS + (b < (share + 1) % BLOCKS) - 1)) for b in range(BLOCKS)]
     size = 64 // BLOCKS
     n_parts = partitions(spark)
     # Rows in a node: at most BLOCKS * words * 2**DEPTH counts, of which those above a task's share are kept.
-    least = max(LEAST_JOB, fps.count() * BLOCKS * words * len(_masks(errors)) // (2 * n_parts))
+    least = max(LEAST_JOB, fps.count() * words * sum(map(len, masks)) // (2 * n_parts))
 
     def top(block: int, turn: int):
         w = "f1" if block >= BLOCKS else "f0"
@@ -360,8 +361,9 @@ def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, rea
     placed = fps.select(F.col("id"), "f0", "f1", *comp, F.explode(blocks).alias("at")).select("id", "f0", "f1", *comp, "at.block", "at.x")
     hot = placed.groupBy("block", "x").count().where(F.col("count") > least).select("block", "x", F.ceil(F.col("count") / least).cast("int").alias("g"))
     hot_rows = [(r["block"], r["x"], r["g"]) for r in hot.collect()]  # at most 2 * n_parts nodes are that large
-    masks = F.array(*map(F.lit, _masks(errors)))
-    paired = placed.withColumn("mask", F.explode(masks)).withColumn("y", F.col("x").bitwiseXOR(F.col("mask").cast("long")))
+    few, many = (F.array(*map(F.lit, m)) for m in (masks[-1], masks[0]))
+    wide = F.col("block") % BLOCKS < sum(len(m) == len(masks[0]) for m in masks)
+    paired = placed.withColumn("mask", F.explode(F.when(wide, many).otherwise(few))).withColumn("y", F.col("x").bitwiseXOR(F.col("mask").cast("long")))
     if hot_rows:
         groups = F.broadcast(spark.createDataFrame(hot_rows, "block int, x long, g int"))
         paired = paired.join(groups.withColumnRenamed("g", "gx"), ["block", "x"], "left").join(groups.select("block", F.col("x").alias("y"), F.col("g").alias("gy")), ["block", "y"], "left")

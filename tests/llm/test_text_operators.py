@@ -163,6 +163,22 @@ def test_all_candidates_of_a_group_are_verified(spark):
     assert len(a) > len(texts) and (first[a] == first[b]).all() and (true[first] == true).all()
 
 
+def test_dense_nodes_keep_the_whole_bound(spark):
+    """13 differing bits in each word, in nodes that are walked down far."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 2)
+
+    def flipped(n):
+        return [int(b) ^ sum(1 << int(k) for k in rng.choice(62, n, False)) for b in base]
+
+    rows = [(k, *flipped(1)) for k in range(1500)] + [(1500 + k, *flipped(13)) for k in range(100)]
+    f = np.array(rows)[:, 1:]
+    root = roots(len(rows), lambda k: np.bitwise_count(f ^ f[k]).astype(int).sum(1) <= 26)
+    found = simhash._Forest(len(rows))
+    found.add(*np.array([(r.a, r.b) for r in simhash.links(spark.createDataFrame(rows, "id long, f0 long, f1 long"), 19, 2, True, 26).collect()]).T)
+    assert (found.root == root).all()
+
+
 def test_direct_links_are_close_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 2)
