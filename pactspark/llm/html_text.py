@@ -34,34 +34,36 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _PARAGRAPH = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary tr tbody thead ul ol dl".split())
 _WHOLE = frozenset(("article", "main"))
 LEAST_CHARS = 25  # shorter paragraphs pass no points
+MOST = 0.8  # an element with more of the page's paragraphs than this is no boilerplate by its class, nor a form
 SIBLING = 0.2  # share of the best score that keeps a sibling
 LINKED = 0.5  # lists, tables and divisions with a larger share of link text are menus
 
 
 class _Tree:
     def __init__(self):
-        self.tag, self.parent, self.cut = ["#root"], [-1], [False]
+        self.tag, self.parent, self.cut = ["#root"], [-1], [0]  # cut: 1 boilerplate, 2 by class, id or as a form
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, in a link
 
-    def add(self, tag: str, parent: int, cut: bool) -> int:
+    def add(self, tag: str, parent: int, cut: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.cut.append(cut)
         return len(self.tag) - 1
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in CUT or tag == "header" and not inside:
-        return True
+def _boilerplate(tag: str, attrs: str, inside: bool) -> int:
+    if tag in CUT and tag != "form" or tag == "header" and not inside:
+        return 1
+    kind = 2 if tag == "form" else 0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return kind
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id") and not MARKS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
+            kind = 2
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return 1
+    return kind
 
 
 def _parse(page: str) -> _Tree:
@@ -142,15 +144,59 @@ def _parse(page: str) -> _Tree:
         elif tag in BLOCKS and tree.tag[stack[-1]] == "p":
             drop_to(len(stack) - 1)
         inside = any(tree.tag[i] in _WHOLE for i in stack)
-        stack.append(tree.add(tag, stack[-1], tree.cut[stack[-1]] or _boilerplate(tag, m["attrs"], inside)))
+        stack.append(tree.add(tag, stack[-1], _boilerplate(tag, m["attrs"], inside)))
     return tree
 
 
+def _cuts(tree: _Tree) -> list[bool]:
+    """What is boilerplate; by its class or as a form only what holds neither the main article nor most paragraphs."""
+    tags, parent, n = tree.tag, tree.parent, len(tree.tag)
+    cut = [kind == 1 for kind in tree.cut]
+    for k in range(1, n):
+        cut[k] = cut[k] or cut[parent[k]]
+    marked, inside = [kind == 2 for kind in tree.cut], [tag in _WHOLE for tag in tags]
+    for k in range(1, n):
+        marked[k] = marked[k] or marked[parent[k]]
+        inside[k] = inside[k] or inside[parent[k]]
+    plain = False  # there is text in an article that no mark cuts
+    own, linked = [0] * n, [0] * n
+    for node, piece, link in tree.pieces:
+        if not cut[node]:
+            plain = plain or inside[node] and not marked[node] and bool(piece.strip())
+            own[node] += len(piece.strip())
+            linked[node] += len(piece.strip()) * link
+    held = [a - b if a >= LEAST_CHARS else 0 for a, b in zip(own, linked)]
+    for k in range(n - 1, 0, -1):
+        held[parent[k]] += held[k]
+    spared = {k for k in range(n) if held[k] > MOST * held[0] and (inside[k] or not plain)}
+    whole = max((k for k in range(n) if tags[k] in _WHOLE and not cut[k]), key=lambda k: (held[k], -k), default=0)
+    if 2 * held[whole] > held[0]:
+        while whole > 0:
+            spared.add(whole)
+            whole = parent[whole]
+    for k in range(1, n):
+        cut[k] = cut[k] or cut[parent[k]] or tree.cut[k] == 2 and k not in spared
+    return cut
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; an empty text where there is none."""
     if not page:
         return ""
     tree = _parse(page)
+    marked = 2 in tree.cut
+    tree.cut = _cuts(tree)
+    text = _article(tree)
+    if not text and marked:
+        tree = _parse(page)
+        tree.cut = [kind == 1 for kind in tree.cut]
+        for k in range(1, len(tree.cut)):
+            tree.cut[k] = tree.cut[k] or tree.cut[tree.parent[k]]
+        text = _article(tree)
+    return text
+
+
+def _article(tree: _Tree) -> str:
     tags, parent, n = tree.tag, tree.parent, len(tree.tag)
     own, linked = [0] * n, [0] * n
     texts: list[list[str]] = [[] for _ in range(n)]

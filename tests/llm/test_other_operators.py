@@ -105,6 +105,17 @@ def test_html_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div id=post-social", "div class=no-comments", "form method=post"])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_marked_wrappers_keep_their_article(wrapper, inner):
+    page = f"<body><nav>{LONG}</nav><{wrapper}><{inner}><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></{inner}><div class=sidebar><p>{LONG[:50]}</p></div></{wrapper.split()[0]}><footer>{LONG}</footer>"
+    assert html_text.main_text(page) == f"{LONG} {LONG} {LONG}"
+    assert html_text.main_text(f"<div class=widget><p>{LONG}</p></div><form>{LONG}</form>") == f"{LONG} {LONG}"
+    assert html_text.main_text(f"<article>Short.</article><div class=ad><p>{LONG}</p></div>") == "Short."
+    related = f"<div><p>{LONG}</p><p>{LONG}</p></div><div class=related><article><p>{LONG}</p></article></div>"
+    assert html_text.main_text(related) == f"{LONG} {LONG}"
+
+
 def test_deep_and_odd_pages(spark):
     assert html_text.main_text("<div>" * 5000 + "x" + "</p></b>" * 100) == "x"
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", f"<p>{LONG}")], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
