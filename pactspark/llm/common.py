@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python. Texts may be long, so batches stay small.
-BATCH_ROWS = "256"
+#: Bounds of an Arrow batch handed to Python: texts may be long, so bytes count as well as rows.
+BATCH_ROWS = "4096"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +41,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+def small_batches(spark: SparkSession) -> None:
+    """The same bounds for all operators, so that it doesn't matter which call came last before a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,14 +1,14 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-A fingerprint is one or two words of 64 bits. Fingerprints within a Hamming
-budget differ by no more than their share of it in one of the words, and there by
-no more than ``errors`` bits in one of its blocks. For each block the word is
-rotated to begin with it, and the rotated words form a binary trie. The trie is
-joined with itself: pairs of nodes are walked down together, differing bits add
-up, and a pair is dropped when it exceeds the budget. The top levels of the walk,
-down to the end of the block, are a Spark shuffle by node pair; the rest of the
-walk is done on sorted arrays, many node pairs at a time. A job emits a spanning
-forest of the links it found, never all pairs of a group.
+A fingerprint is one or two words of 64 bits, each of BLOCKS blocks. For each block
+the word is rotated to begin with it, and the rotated words form a binary trie. The
+trie is joined with itself: pairs of nodes are walked down together, differing bits
+add up, and a pair is dropped when they exceed the budget: ``errors`` down to the
+end of the block, the budget of all bits beyond. A link is found if one of its
+blocks has no more than ``errors`` differing bits, in nodes of any size. The top
+levels of the walk are a Spark shuffle by node pair, no deeper than the number of
+rows asks for; the rest of the walk is done on sorted arrays, many node pairs at a
+time. A job emits a spanning forest of the links it found, never all pairs of a group.
 
 Equal fingerprints meet once, as one fingerprint. A node that holds more than its
 share of all rows is split into groups of rows, whose pairs are jobs of their own,
@@ -17,6 +17,7 @@ so no link is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,10 +31,14 @@ from .common import partitions, save, small_batches
 from .components import components
 
 BLOCKS = 5  # blocks of a word of 64 bits
-DEPTH = 12  # bits of a block that are walked by the shuffle
+DEPTH = 12  # bits of a block
+NODE = 16_384  # rows of a node that the shuffle makes, on average, where blocks may have errors
 LEAST_JOB = 256
 CHUNK = 200_000  # rows that a task walks at a time, if no job is larger
-LEAF = 64  # node pairs with no more row pairs than this are compared row by row
+LEAF = 16_384  # node pairs with no more row pairs than this are compared row by row
+TINY = 256  # of these, those with no more row pairs than this are compared together
+SIDE = 1024  # rows of either side that are compared at once
+BATCH = 200_000  # links that are handed on together
 FRONT = 100_000  # node pairs that are walked at a time
 MORE = 16  # candidates of a row that are verified after a refused link, times this in each round
 
@@ -70,12 +75,12 @@ def _second(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hashed(width: int, words: int):
+def _hashed(width: int, words: int, once: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f0, f1 = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                h = shingle_hashes(text, width)
+                h = np.unique(shingle_hashes(text, width)) if once else shingle_hashes(text, width)
                 f0.append(fingerprint(h))
                 f1.append(fingerprint(_second(h)) if words == 2 else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1))], [*batch.schema.names[:-1], "f0", "f1"])
@@ -83,11 +88,11 @@ def _hashed(width: int, words: int):
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 5, words: int = 1) -> DataFrame:
-    """``key, f0, f1`` of each row of ``key, text``; f1 is 0 for fingerprints of one word."""
+def fingerprints(docs: DataFrame, width: int = 5, words: int = 1, once: bool = False) -> DataFrame:
+    """``key, f0, f1`` of each row of ``key, text``; f1 is 0 for fingerprints of one word. With ``once`` repeated shingles count once."""
     small_batches(docs.sparkSession)
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(_hashed(width, words), f"key {kind}, f0 long, f1 long")
+    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(_hashed(width, words, once), f"key {kind}, f0 long, f1 long")
 
 
 class _Forest:
@@ -199,8 +204,34 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def walk(values: np.ndarray, f0: np.ndarray, f1: np.ndarray, pairs: np.ndarray, budget: int, total: int, found) -> None:
-    """Walk node pairs down. ``pairs``: rows of lo, hi, lo, hi, depth, differing bits; ``found`` takes index arrays of links."""
+class _Batched:
+    """Hands on links in batches."""
+
+    def __init__(self, found):
+        self.found, self.held, self.size = found, [], 0
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append((a, b))
+            self.size += len(a)
+            if self.size >= BATCH:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.found(*(np.concatenate(c) for c in zip(*self.held)))
+        self.held, self.size = [], 0
+
+
+def walk(values: np.ndarray, other: np.ndarray, pairs: np.ndarray, errors: int, total: int, found) -> None:
+    """Walk node pairs down.
+
+    ``pairs``: rows of lo, hi, lo, hi, depth, differing bits, over the sorted words
+    ``values``; ``other`` is the other word of each row (zero without one). ``found``
+    takes index arrays of links: no more than ``errors`` bits differ among the first
+    DEPTH ones of the word, and no more than ``total`` in both words.
+    """
+    found = _Batched(found)
     stack = [pairs]
     while stack:
         p = stack.pop()
@@ -208,10 +239,13 @@ def walk(values: np.ndarray, f0: np.ndarray, f1: np.ndarray, pairs: np.ndarray,
             stack += [p[: len(p) // 2], p[len(p) // 2 :]]
             continue
         n1, n2 = p[:, 1] - p[:, 0], p[:, 3] - p[:, 2]
-        live = (n1 > 0) & (n2 > 0) & (p[:, 5] <= budget)
+        live = (n1 > 0) & (n2 > 0) & (p[:, 5] <= np.where(p[:, 4] <= DEPTH, errors, total))
         p, n1, n2 = p[live], n1[live], n2[live]
         leaf = (n1 * n2 <= LEAF) | (p[:, 4] >= 64)
-        _compare(f0, f1, p[leaf], n1[leaf], n2[leaf], total, found)
+        tiny = n1[leaf] * n2[leaf] <= TINY
+        _compare_tiny(values, other, p[leaf][tiny], errors, total, found)
+        for q in p[leaf][~tiny].tolist():
+            _compare(values, other, q, errors, total, found)
         p = p[~leaf]
         if not len(p):
             continue
@@ -227,22 +261,40 @@ def walk(values: np.ndarray, f0: np.ndarray, f1: np.ndarray, pairs: np.ndarray,
                 ]
             )
         )
+    found.flush()
+
+
+_REST = np.uint64(64 - DEPTH)
 
 
-def _compare(f0, f1, p, n1, n2, total, found) -> None:
-    sizes = n1 * n2
-    at = 0
-    while at < len(p):
-        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1_000_000)) + at)
-        q, s, w = p[at:end], sizes[at:end], n2[at:end]
+def _compare(values, other, pair: list[int], errors: int, total: int, found) -> None:
+    """All rows of one node against all of another, or each two of one."""
+    lo1, hi1, lo2, hi2 = pair[:4]
+    for i in range(lo1, hi1, SIDE):
+        for j in range(lo2, hi2, SIDE):
+            x = values[i : min(i + SIDE, hi1), None] ^ values[j : min(j + SIDE, hi2)]
+            a, b = np.nonzero(np.bitwise_count(x) <= total)
+            if len(a):
+                x = x[a, b]
+                a, b = a + i, b + j
+                near = (np.bitwise_count(x >> _REST) <= errors) & (np.bitwise_count(x).astype(np.int64) + np.bitwise_count(other[a] ^ other[b]) <= total)
+                if lo1 == lo2:
+                    near &= a < b
+                found(a[near], b[near])
+
+
+def _compare_tiny(values, other, p, errors: int, total: int, found) -> None:
+    sizes, w = (p[:, 1] - p[:, 0]) * (p[:, 3] - p[:, 2]), p[:, 3] - p[:, 2]
+    for at in range(0, len(p), 4096):
+        q, s, v = p[at : at + 4096], sizes[at : at + 4096], w[at : at + 4096]
         of = np.repeat(np.arange(len(q)), s)
         k = np.arange(len(of)) - np.repeat(np.cumsum(s) - s, s)
-        a, b = q[of, 0] + k // w[of], q[of, 2] + k % w[of]
-        keep = (a < b) | (q[of, 0] != q[of, 2])
-        a, b = a[keep], b[keep]
-        near = np.bitwise_count(f0[a] ^ f0[b]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[b]) <= total
+        a, b = q[of, 0] + k // v[of], q[of, 2] + k % v[of]
+        x = values[a] ^ values[b]
+        near = (np.bitwise_count(x >> _REST) <= errors) & (np.bitwise_count(x) <= total) & ((a < b) | (q[of, 0] != q[of, 2]))
+        a, b, x = a[near], b[near], x[near]
+        near = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(other[a] ^ other[b]) <= total
         found(a[near], b[near])
-        at = end
 
 
 def _firsts(ids: np.ndarray) -> np.ndarray:
@@ -254,11 +306,11 @@ def _firsts(ids: np.ndarray) -> np.ndarray:
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
+def _joined(errors: int, total: int, top: int, direct: bool, most: int = 0):
     """Jobs come sorted by key; each is one row range, or two by side.
 
-    Out come stars of the components found; with ``direct`` the pairs that joined
-    them, in steps of rising distance, so that each is about the closest that could.
+    Jobs were walked down ``top`` bits. Out come stars of the components found; with
+    ``direct`` the pairs that joined them, the closest ones of each batch first.
     With ``most`` rows are of a component already, and pairs between components come
     out: those that join trees, the ``most`` closest of each row, and a loop for
     each row that has more.
@@ -268,12 +320,12 @@ def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
         key, side, f0, f1, vid, part, comp = cols if most else [*cols, cols[4]]
         u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
         block = (key >> 48).astype(np.int64) & 15
-        word = np.where(block >= BLOCKS, u1, u0)
+        word, other = np.where(block >= BLOCKS, u1, u0), np.where(block >= BLOCKS, u0, u1)
         turn = ((block % BLOCKS) * (64 // BLOCKS)).astype(np.uint64)
         values = np.where(turn == 0, word, (word << turn) | (word >> ((np.uint64(64) - turn) % np.uint64(64))))
         job = np.r_[0, np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))]
         order = np.lexsort((values, side, job))
-        job, side, values, u0, u1, vid, key, comp = job[order], side[order], values[order], u0[order], u1[order], vid[order], key[order], comp[order]
+        job, side, values, other, u0, u1, vid, key, comp = (c[order] for c in (job, side, values, other, u0, u1, vid, key, comp))
         starts = np.r_[0, np.flatnonzero(job[1:] != job[:-1]) + 1, len(job)]
         lo, hi = starts[:-1], starts[1:]
         ones = np.r_[0, np.cumsum(side == 1)]
@@ -281,7 +333,7 @@ def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
         two = mid < hi
         lone = np.flatnonzero(~two)
         pairs = np.empty((len(lo), 6), np.int64)
-        pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 3], pairs[:, 4] = lo, mid, mid, hi, DEPTH
+        pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 3], pairs[:, 4] = lo, mid, mid, hi, top
         pairs[lone, 2], pairs[lone, 3] = lo[lone], hi[lone]
         x, y = (key[lo] >> 24) & 0xFFFFFF, key[lo] & 0xFFFFFF
         pairs[:, 5] = np.bitwise_count(x ^ y)
@@ -294,10 +346,10 @@ def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
 
             def found(a: np.ndarray, b: np.ndarray) -> None:
                 forest.add(a, b)
-                near.add(a, b)
+                if near:
+                    near.add(a, b)
 
-            for level in sorted({total // 4, total}):
-                walk(values, u0, u1, pairs, min(budget, level), level, found if most and level == total else forest.add)
+            walk(values, other, pairs, errors, total, found)
             links = np.array(forest.used, np.int64).reshape(-1, 2)
             if most:
                 closest, more = near.settle()[:, :2], np.flatnonzero(near.more)
@@ -305,7 +357,7 @@ def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
                 links = np.unique(np.sort(vid[links], axis=1), axis=0)
                 return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=_EDGE)
             return pa.RecordBatch.from_arrays([pa.array(vid[links[:, 0]]), pa.array(vid[links[:, 1]])], schema=_EDGE)
-        walk(values, u0, u1, pairs, budget, total, forest.add)
+        walk(values, other, pairs, errors, total, forest.add)
         member = np.flatnonzero(vid != vid[forest.root])
         links = np.unique(np.column_stack([vid[forest.root[member]], vid[member]]), axis=0) if len(member) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=_EDGE)
@@ -329,41 +381,41 @@ def _joined(budget: int, total: int, words: int, direct: bool, most: int = 0):
     return run
 
 
-def _masks(errors: int) -> list[int]:
-    return [sum(1 << k for k in bits) for n in range(errors + 1) for bits in combinations(range(DEPTH), n)]
+def _masks(bits: int, errors: int) -> list[int]:
+    return [sum(1 << k for k in at) for n in range(min(bits, errors) + 1) for at in combinations(range(bits), n)]
 
 
-def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, reach: int | None = None, most: int = 0) -> DataFrame:
-    """Spanning forests, as ``a, b``, of all pairs of distinct ``id, f0, f1`` within ``budget`` differing bits.
+def links(fps: DataFrame, budget: int, words: int = 1, errors: int | None = None, direct: bool = False, most: int = 0) -> DataFrame:
+    """Spanning forests, as ``a, b``, of the pairs of distinct ``id, f0, f1`` within ``budget`` differing bits.
 
-    ``reach`` takes the budget's place, if given. The bound is the same in nodes of any size: a
-    word's share of it is walked, in blocks whose errors add up to no less. With ``direct`` each row is such a pair itself, otherwise it may stand for a way over others.
-    With ``most``, and ``direct``, rows have a component ``comp``; pairs within one are left out, and beside the
+    A pair is found if one of its blocks has no more than ``errors`` differing bits; if that is not given, it
+    is so large that every pair has such a block. With ``direct`` each row is such a pair itself, otherwise it may
+    stand for a way over others. With ``most``, and ``direct``, rows have a component ``comp``; pairs within one are left out, and beside the
     forests' pairs come the ``most`` closest of each row and a loop ``a, a`` for each row that has more.
     """
     spark = fps.sparkSession
-    small_batches(spark, "20000")
-    share = (reach or budget) // words
-    # One of the word's blocks has no more errors than are allowed for it: more in each would be over the share.
-    masks = [_masks(max(0, (share + 1) // BLOCKS + (b < (share + 1) % BLOCKS) - 1)) for b in range(BLOCKS)]
+    small_batches(spark)
+    # More errors in each block would be over the budget.
+    errors = budget // (BLOCKS * words) if errors is None else errors
     size = 64 // BLOCKS
-    n_parts = partitions(spark)
-    # Rows in a node: at most BLOCKS * words * 2**DEPTH counts, of which those above a task's share are kept.
-    least = max(LEAST_JOB, fps.count() * words * sum(map(len, masks)) // (2 * n_parts))
-
-    def top(block: int, turn: int):
+    n_parts, n = partitions(spark), fps.count()
+    # Masks multiply the rows that are shuffled, and there are more of them the deeper the shuffle goes.
+    top = DEPTH if not errors else min(DEPTH, max(0, math.ceil(math.log2(max(n, 1) / NODE))))
+    masks = _masks(top, errors)
+    # Nodes above a task's share are split; there are at most BLOCKS * words * 2**DEPTH nodes.
+    least = max(LEAST_JOB, min(CHUNK, n * words * BLOCKS * len(masks) // (2 * n_parts)))
+
+    def prefix(block: int, turn: int):
         w = "f1" if block >= BLOCKS else "f0"
         value = f"(shiftleft({w}, {turn}) | shiftrightunsigned({w}, {64 - turn}))" if turn else w
-        return F.expr(f"shiftrightunsigned({value}, {64 - DEPTH})")
+        return F.expr(f"shiftrightunsigned({value}, {64 - top})") if top else F.lit(0).cast("long")
 
-    blocks = F.array(*(F.struct(F.lit(b).alias("block"), top(b, (b % BLOCKS) * size).alias("x")) for b in range(BLOCKS * words)))
+    blocks = F.array(*(F.struct(F.lit(b).alias("block"), prefix(b, (b % BLOCKS) * size).alias("x")) for b in range(BLOCKS * words)))
     comp = ["comp"] if most else []
     placed = fps.select(F.col("id"), "f0", "f1", *comp, F.explode(blocks).alias("at")).select("id", "f0", "f1", *comp, "at.block", "at.x")
     hot = placed.groupBy("block", "x").count().where(F.col("count") > least).select("block", "x", F.ceil(F.col("count") / least).cast("int").alias("g"))
-    hot_rows = [(r["block"], r["x"], r["g"]) for r in hot.collect()]  # at most 2 * n_parts nodes are that large
-    few, many = (F.array(*map(F.lit, m)) for m in (masks[-1], masks[0]))
-    wide = F.col("block") % BLOCKS < sum(len(m) == len(masks[0]) for m in masks)
-    paired = placed.withColumn("mask", F.explode(F.when(wide, many).otherwise(few))).withColumn("y", F.col("x").bitwiseXOR(F.col("mask").cast("long")))
+    hot_rows = [(r["block"], r["x"], r["g"]) for r in hot.collect()]
+    paired = placed.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn("y", F.col("x").bitwiseXOR(F.col("mask").cast("long")))
     if hot_rows:
         groups = F.broadcast(spark.createDataFrame(hot_rows, "block int, x long, g int"))
         paired = paired.join(groups.withColumnRenamed("g", "gx"), ["block", "x"], "left").join(groups.select("block", F.col("x").alias("y"), F.col("g").alias("gy")), ["block", "y"], "left")
@@ -374,9 +426,9 @@ def links(fps: DataFrame, budget: int, words: int = 1, direct: bool = False, rea
     swap = (F.col("x") > F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("i") > F.col("j")))
     key = F.expr("shiftleft(cast(block as long), 48) | shiftleft(least(x, y), 24) | greatest(x, y)")
     lo, hi = F.when(swap, F.col("j")).otherwise(F.col("i")), F.when(swap, F.col("i")).otherwise(F.col("j"))
-    jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo * 65536 + hi).alias("part"), *comp)
+    jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo.cast("long") * 65536 + hi).alias("part"), *comp)
     dealt = jobs.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(_joined(share, reach or budget, words, direct, most), "a long, b long")
+    return dealt.mapInArrow(_joined(errors, budget, top, direct, most), "a long, b long")
 
 
 def _shingled(width: int):
@@ -414,7 +466,7 @@ def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, width: int,
     return both.select("a", "b", "sa", "sb").mapInArrow(_held(least), "a long, b long")
 
 
-def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budget: int, least: float, reach: int | None) -> DataFrame:
+def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budget: int, errors: int | None, least: float) -> DataFrame:
     """Links whose texts have a similarity of ``least`` or more, with the components of all such candidates.
 
     A refused link may have hidden others between the trees it joined. So the
@@ -423,7 +475,7 @@ def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budge
     a candidate that was not held against the texts.
     """
     fps = distinct.select("id", "f0", "f1")
-    edges = save(links(fps, budget, words, True, reach).distinct(), "edges")
+    edges = save(links(fps, budget, words, errors, True).distinct(), "edges")
     good = save(similar(edges, distinct, docs, width, least), "links")
     open_, most = None, MORE
     while True:
@@ -438,30 +490,30 @@ def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budge
         rows = save(rows.select("id", "f0", "f1", "comp"), "rows")
         if rows.isEmpty():
             return good
-        found = save(links(rows, budget, words, True, reach, most).distinct(), "edges")
+        found = save(links(rows, budget, words, errors, True, most).distinct(), "edges")
         open_, edges = found.where("a = b").select(F.col("a").alias("id")), found.where("a <> b")
         good = save(good.union(similar(edges, distinct, docs, width, least)), "links")
         most *= MORE
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int = 19, least: float | None = None, reach: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int = 19, errors: int | None = None, least: float | None = None) -> DataFrame:
     """``key, f0, f1, first``: ``first`` is the least key of the row's component.
 
     ``docs`` has ``key`` of a type with an order and ``text``. The defaults take five words and a
-    similarity of 0.8: of 128 bits, 19.4 differ then on average. With ``least``
-    candidates are held against the texts themselves until all that join components
-    are (see verified); links of equal fingerprints are not; ``reach`` (see links) then finds more pairs for it. A null text is
-    an empty one, and texts without words have the fingerprint zero, linked like
+    similarity of 0.8: of 128 bits, 19.4 differ then on average. ``errors`` see links. With ``least``
+    fingerprints go by the sets of shingles, and candidates are held against those sets themselves until all
+    that join components are (see verified); only texts of one fingerprint are taken for near-duplicates without that.
+    A null text is an empty one, and texts without words have the fingerprint zero, linked like
     any other. Rows with a null key are linked but never first while others are.
     Repeated rows stay; an empty table gives none.
     """
-    marked = save(fingerprints(docs, width, words), "simhash")
+    marked = save(fingerprints(docs, width, words, least is not None), "simhash")
     distinct = marked.groupBy("f0", "f1").agg(F.min("key").alias("least"))
     distinct = save(distinct.withColumn("id", F.col("f0") if words == 1 else F.xxhash64("f0", "f1")), "distinct")
     if least is None:
-        edges = links(distinct.select("id", "f0", "f1"), budget, words)
+        edges = links(distinct.select("id", "f0", "f1"), budget, words, errors)
     else:
-        edges = verified(distinct, docs, width, words, budget, least, reach)
+        edges = verified(distinct, docs, width, words, budget, errors, least)
     roots = components(edges)
     rooted = distinct.join(roots, "id", "left").select("f0", "f1", "least", F.coalesce("root", "id").alias("root"))
     # A table of its own, so that the partition of a large component can be split in the join.

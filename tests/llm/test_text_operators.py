@@ -129,7 +129,7 @@ def test_exact_similarity(spark, sf):
     """With ``least`` documents go for partners of that similarity only, and nearly all such pairs are found."""
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, least=0.8, reach=26).collect()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, least=0.8, budget=26, errors=1).collect()}
     sets, at = {}, defaultdict(list)
     for k, t in texts.items():
         w = t.lower().split()
@@ -150,21 +150,33 @@ def edited_copies(n, part, seed=8):
     return texts, np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
 
 
+def passes(f):
+    """Pairs of rows of which some block of twelve bits has no more than one differing bit."""
+    x, out = f[:, None] ^ f, False
+    for word in range(2):
+        for k in range(simhash.BLOCKS):
+            turned = x[:, :, word] << np.uint64(12 * k) | x[:, :, word] >> np.uint64((64 - 12 * k) % 64)
+            out = out | (np.bitwise_count(turned >> np.uint64(52)) <= 1)
+    return out
+
+
 def test_all_candidates_of_a_group_are_verified(spark):
     """A refused candidate must not hide others between the same trees."""
     texts, near = edited_copies(200, 0.012)
     docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
-    found = sorted((r.key, r["first"]) for r in simhash.near_duplicates(docs, least=0.8, reach=26).collect())
-    f = np.array([[r.f0, r.f1] for r in sorted(simhash.fingerprints(docs, 5, 2).collect())]).view(np.uint64)
+    found = sorted((r.key, r["first"]) for r in simhash.near_duplicates(docs, least=0.8, budget=26, errors=1).collect())
+    f = np.array([[r.f0, r.f1] for r in sorted(simhash.fingerprints(docs, 5, 2, once=True).collect())]).view(np.uint64)
     far = np.bitwise_count(f[:, None] ^ f).astype(int)
-    candidates = near & (far.sum(2) <= 26) & (far.min(2) <= 9)
+    candidates = near & (far.sum(2) <= 26) & passes(f)
     first, true = np.array([b for _, b in found]), roots(len(texts), lambda k: near[k])
     a, b = np.nonzero(candidates)
     assert len(a) > len(texts) and (first[a] == first[b]).all() and (true[first] == true).all()
 
 
-def test_dense_nodes_keep_the_whole_bound(spark):
-    """13 differing bits in each word, in nodes that are walked down far."""
+@pytest.mark.parametrize("node", [8, 10**6])
+def test_nodes_of_any_size_keep_the_same_bound(spark, monkeypatch, node):
+    """13 differing bits in each word, in nodes that are walked down far, whatever the shuffle has done before."""
+    monkeypatch.setattr(simhash, "NODE", node)
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**62, 2)
 
@@ -173,9 +185,10 @@ def test_dense_nodes_keep_the_whole_bound(spark):
 
     rows = [(k, *flipped(1)) for k in range(1500)] + [(1500 + k, *flipped(13)) for k in range(100)]
     f = np.array(rows)[:, 1:]
-    root = roots(len(rows), lambda k: np.bitwise_count(f ^ f[k]).astype(int).sum(1) <= 26)
+    near = (np.bitwise_count(f[:, None] ^ f).astype(int).sum(2) <= 26) & passes(f.view(np.uint64))
+    root = roots(len(rows), lambda k: near[k])
     found = simhash._Forest(len(rows))
-    found.add(*np.array([(r.a, r.b) for r in simhash.links(spark.createDataFrame(rows, "id long, f0 long, f1 long"), 19, 2, True, 26).collect()]).T)
+    found.add(*np.array([(r.a, r.b) for r in simhash.links(spark.createDataFrame(rows, "id long, f0 long, f1 long"), 26, 2, 1, True).collect()]).T)
     assert (found.root == root).all()
 
 
@@ -193,7 +206,7 @@ def test_direct_links_are_close_pairs(spark):
 def test_simhash_of_messy_rows(messy):
     found = simhash.near_duplicates(messy.select(F.col("doc_id").alias("key"), "text"), 4, 1, 4).collect()
     assert len(found) == 9 and {r["first"] for r in found if r.f0 == 0} == {2}
-    assert simhash.drop_near_duplicates(messy, least=0.8, reach=26).count() == simhash.drop_near_duplicates(messy).count()
+    assert simhash.drop_near_duplicates(messy, least=0.8, budget=26, errors=1).count() == simhash.drop_near_duplicates(messy).count()
     kept = simhash.drop_near_duplicates(messy)
     assert kept.columns == messy.columns
     assert sorted(((r.doc_id, (r.text or "")[:5]) for r in kept.collect()), key=str)[:2] == [(1, "a b c"), (1, "other")]
