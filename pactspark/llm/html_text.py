@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_UNQUOTED = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -34,6 +35,7 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _PARAGRAPH = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary tr tbody thead ul ol dl".split())
 _WHOLE = frozenset(("article", "main"))
 LEAST_CHARS = 25  # shorter paragraphs pass no points
+BARE = 0.2  # share of its points that text passes which stands in a division itself, in no paragraph
 MOST = 0.8  # an element with more of the page's paragraphs than this is no boilerplate by its class, nor a form
 SIBLING = 0.2  # share of the best score that keeps a sibling
 LINKED = 0.5  # lists, tables and divisions with a larger share of link text are menus
@@ -51,6 +53,77 @@ class _Tree:
         return len(self.tag) - 1
 
 
+class _Open:
+    """The open block elements, with the places of each tag on the stack, so that no search walks over the others."""
+
+    def __init__(self, tree: _Tree):
+        self.tree, self.stack, self.places = tree, [0], {}
+
+    @property
+    def node(self) -> int:
+        return self.stack[-1]
+
+    @property
+    def tag(self) -> str:
+        return self.tree.tag[self.stack[-1]]
+
+    def last(self, *tags: str) -> int:
+        """The deepest place of any of the tags; 0, where the root is, if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, cut: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(self.tree.add(tag, self.stack[-1], cut))
+
+    def drop_to(self, place: int) -> bool:
+        """Closes what stands from a place on; whether a block was among that."""
+        gone = [self.tree.tag[i] for i in self.stack[place:]]
+        for tag in gone:
+            self.places[tag].pop()
+        del self.stack[place:]
+        return any(tag in BLOCKS for tag in gone)
+
+
+class _Marks:
+    """Finds the markup of a page in one pass: no character is looked at again after a search that failed."""
+
+    def __init__(self, page: str):
+        self.page, self.last_end = page, page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.quotes = True  # quoted attributes may hold ">"; not after a quote that swallowed the rest of the page
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends here; -1 if it never does."""
+        page, k = self.page, at
+        if at > self.last_end:
+            return -1
+        while self.quotes:
+            k = _UNQUOTED.match(page, k).end()
+            if k == len(page):
+                self.quotes = False
+            elif page[k] == ">":
+                return k
+            elif self.last_quote[page[k]] > k:
+                k = page.index(page[k], k + 1) + 1
+            else:
+                k += 1
+        return page.find(">", at)
+
+    def comment_end(self, at: int) -> int:
+        """Where the rest begins after the comment or declaration at ``<!`` or ``<?``."""
+        if self.page.startswith("<!--", at):
+            end = self.page.find("-->", at + 2)
+            return len(self.page) if end < 0 else end + 3
+        end = self.page.find(">", at)
+        return len(self.page) if end < 0 else end + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the rest begins after a raw element's content."""
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.tag_end(found.end()) if found else -1
+        return len(self.page) if end < 0 else end + 1
+
+
 def _boilerplate(tag: str, attrs: str, inside: bool) -> int:
     if tag in CUT and tag != "form" or tag == "header" and not inside:
         return 1
@@ -67,18 +140,19 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> int:
 
 
 def _parse(page: str) -> _Tree:
-    tree, stack, links, at = _Tree(), [0], 0, 0
+    tree = _Tree()
+    marks, opened, links, at = _Marks(page), _Open(tree), 0, 0
     skips: list[str] = []  # inline elements that are boilerplate
     n = len(page)
 
     def text(raw: str) -> None:
         if raw and not skips:
-            tree.pieces.append((stack[-1], html.unescape(raw), links > 0))
+            tree.pieces.append((opened.node, html.unescape(raw), links > 0))
 
-    def drop_to(k: int) -> None:
+    def drop_to(place: int) -> None:
         nonlocal links
-        links = 0 if any(tree.tag[i] in BLOCKS for i in stack[k:]) else links
-        del stack[k:]
+        if opened.drop_to(place):
+            links = 0
 
     while at < n:
         lt = page.find("<", at)
@@ -87,64 +161,60 @@ def _parse(page: str) -> _Tree:
             break
         if lt > at:
             text(page[at:lt])
-        m = _TAG.match(page, lt)
-        if not m:
-            text("<")
-            at = lt + 1
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            text(page[lt + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
             continue
-        at = m.end()
-        if m["cdata"] is not None:
-            text(m["cdata"])
+        if page.startswith(("<!", "<?"), lt):
+            at = marks.comment_end(lt)
             continue
-        if m["name"] is None:
+        closing = page.startswith("</", lt)
+        name = _NAME.match(page, lt + 1 + closing)
+        if not name and closing:
+            at = marks.comment_end(lt)
             continue
-        tag, closing = m["name"].lower(), bool(m["close"])
+        if not name:
+            text("<")
+            at = lt + 1
+            continue
+        end = marks.tag_end(name.end())
+        if end < 0:  # the page ends within a tag
+            break
+        tag, attrs, at = name[0].lower(), page[name.end() : end], end + 1
         if tag in RAW and not closing:
-            if not (m["attrs"] or "").rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attrs.rstrip().endswith("/"):
+                at = marks.raw_end(tag, at)
             continue
         if tag == "a":
             links = 0 if closing else 1
             continue
         if tag in ("br", "hr"):
-            tree.pieces.append((stack[-1], "\n", False))
+            tree.pieces.append((opened.node, "\n", False))
             continue
         if tag in VOID:
             continue
         if closing:
             if skips and skips[-1] == tag:
                 skips.pop()
-            elif tag in BLOCKS or tag in CUT:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[k]] == tag:
-                        drop_to(k)
-                        skips.clear()
-                        break
+            elif place := opened.last(tag):
+                drop_to(place)
+                skips.clear()
             continue
         if tag not in BLOCKS and tag not in CUT:
-            if skips and skips[-1] == tag or _boilerplate(tag, m["attrs"], True):
+            if skips and skips[-1] == tag or _boilerplate(tag, attrs, True):
                 skips.append(tag)
             continue
-        if tag == "body" and skips:
+        if tag == "body":
             skips.clear()
-        if tag == "body":  # an open head ends here
-            for k in range(1, len(stack)):
-                if tree.tag[stack[k]] == "head":
-                    drop_to(k)
-                    break
+            if place := opened.last("head"):  # an open head ends here
+                drop_to(place)
         if tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] in _CLOSES[tag]:
-                    drop_to(k)
-                    if tag != "tr":
-                        break
-                elif tree.tag[stack[k]] in _SCOPE[tag]:
-                    break
-        elif tag in BLOCKS and tree.tag[stack[-1]] == "p":
-            drop_to(len(stack) - 1)
-        inside = any(tree.tag[i] in _WHOLE for i in stack)
-        stack.append(tree.add(tag, stack[-1], _boilerplate(tag, m["attrs"], inside)))
+            while (place := opened.last(*_CLOSES[tag])) > opened.last(*_SCOPE[tag]):
+                drop_to(place)
+        elif tag in BLOCKS and opened.tag == "p":
+            drop_to(len(opened.stack) - 1)
+        opened.push(tag, _boilerplate(tag, attrs, opened.last(*_WHOLE) > 0))
     return tree
 
 
@@ -215,21 +285,18 @@ def _article(tree: _Tree) -> str:
             tree.cut[k] = True
         tree.cut[k] = tree.cut[k] or tree.cut[parent[k]]
 
+    # A paragraph's points go to its container, half of them to that one's, and so on up to the root.
     points = [0.0] * n
-    for k in range(n):
-        if tree.cut[k] or own[k] < LEAST_CHARS:
-            continue
-        said = " ".join("".join(texts[k]).split())
-        gain = 1 + said.count(",") + min(len(said) / 100, 3) + len(said) / 1000
-        gain *= 1 - linked[k] / max(own[k], 1)
-        at, level = (parent[k] if tags[k] in _PARAGRAPH and k else k), 0
-        while at >= 0:
-            if tags[at] not in _PARAGRAPH or at == 0:
-                points[at] += gain / (1, 2)[level] if level < 2 else gain / (3 * level)
-                level += 1
-            at = parent[at]
+    for k in range(n - 1, -1, -1):
+        plain = tags[k] not in _PARAGRAPH or k == 0
+        if not tree.cut[k] and own[k] >= LEAST_CHARS:
+            said = " ".join("".join(texts[k]).split())
+            gain = 1 + said.count(",") + min(len(said) / 100, 3) + len(said) / 1000
+            points[k if plain else parent[k]] += gain * (1 - linked[k] / max(own[k], 1)) * (BARE if plain else 1)
+        if k:
+            points[parent[k]] += points[k] / 2 if plain else points[k]
     score = [points[k] * (1 - total_linked[k] / max(total[k], 1)) for k in range(n)]
-    best = max((k for k in range(n) if not tree.cut[k]), key=lambda k: (score[k], -k))
+    best = max((k for k in range(n) if not tree.cut[k] and (tags[k] not in _PARAGRAPH or k == 0)), key=lambda k: (score[k], -k))
     if score[best] <= 0:
         whole = [k for k in range(n) if tags[k] in _WHOLE and not tree.cut[k] and total[k]]
         best = max(whole, key=lambda k: (total[k], -k)) if whole else 0
@@ -267,7 +334,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row, from its whole html.
 
     Null and empty html give an empty text, as does a page without any text
-    outside boilerplate; markup that is never closed runs to the end of the page.
+    outside boilerplate; markup that is never closed runs to the end of the page,
+    and a tag that the page ends in gives nothing. Time is linear in the page.
     Repeated rows stay; other columns are ignored.
     """
     small_batches(pages.sparkSession)

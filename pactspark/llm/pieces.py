@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = "▁"
+STEP = 1000  # texts that are encoded together
 MOST_CHUNKS = 200_000
 MOST_PAIRS = 500_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -309,7 +310,7 @@ def _model(path: str) -> PieceModel:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in (b.slice(k, STEP) for b in batches for k in range(0, b.num_rows, STEP)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             bodies = model.encode_bytes(texts)
             n = np.array([len(x) // 4 for x in bodies], np.int64)
@@ -330,7 +331,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     space mark read as a space, as the library reads it). Null and empty texts
     have no ids; repeated rows stay; other columns are ignored.
     """
-    small_batches(docs.sparkSession, "1000")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encoded(path), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
@@ -346,5 +347,5 @@ def _decoded(path: str):
 
 def decode_documents(rows: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give a null text."""
-    small_batches(rows.sparkSession, "1000")
+    small_batches(rows.sparkSession)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decoded(path), "doc_id long, text string")

@@ -84,6 +84,46 @@ def test_pages_against_their_articles(spark, sf):
         assert found[r.page_id].text == wanted and found[r.page_id].n_chars == len(wanted)
 
 
+def neutral(page):
+    """The page without names: every division is a div without class or id."""
+    import re
+
+    return re.sub(r" (class|id)=(\"[^\"]*\"|[^ >]+)", "", re.sub(r"<(/?)(article|nav|footer|header|aside|main|form)\b", r"<\1div", page))
+
+
+def test_scores_find_the_article_where_no_name_tells(spark, sf, monkeypatch):
+    import re
+
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet").toPandas()["html"].tolist()
+    wanted = [html_text.main_text(x) for x in pages]
+    assert all(re.search("<article>", x) for x in pages)
+
+    def equal():
+        return np.mean([html_text.main_text(neutral(x)) == w for x, w in zip(pages, wanted)])
+
+    assert equal() > 0.97
+    monkeypatch.setattr(html_text, "LEAST_CHARS", 10**9)  # nothing passes points
+    assert equal() < 0.1
+
+
+N = 100_000
+
+
+@pytest.mark.parametrize(
+    "page,chars",
+    [
+        ("<a " * 4 * N, 0), ("<div>" * 2 * N, 0), ("<div><p>some text that is long enough, yes" * N, None), ('<a ">" ' * N, None), ("<a ' \" " * N + '">', 0), ("<!-- " * N, 0), ("<!x" * N, 0), ("<ul><div>" * N + "<li></li>" * N, 0),
+        ("<div>" * N + "</section>" * N, 0), ("<title></titl " * N, 0), ("<p " + "a=\" b=' " * N + ">", 0), ("<" * N, N), ("<li><ul>" * N, 0), ("<table><tr><td>" + "<div>" * N + "</div><td>" * N, 0), ("<form><article>" * N + "text", 4), ("&#" * N, 2 * N),
+    ],
+)
+def test_time_is_linear_in_the_page(page, chars):
+    import time
+
+    began = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - began < 10 and (chars is None or len(text) == chars)
+
+
 LONG = "This is a paragraph, with commas, and with more than enough words to count as text."
 
 
@@ -98,7 +138,7 @@ LONG = "This is a paragraph, with commas, and with more than enough words to cou
         (f"<div><section><p>{LONG}</p></section><section><p>{LONG}</p></section></div>", f"{LONG} {LONG}"),
         (f"<article>x<b>y</b>z <p>{LONG}</p><pre>a\n  b</pre><table><tr><td>c<td>d<tr><td>e</table></article>", f"xyz {LONG} a b c d e"),
         (f"<p title='a > b'>{LONG}</p><div hidden>no</div><span class='ad'>no</span>", LONG),
-        (f"<article><p>{LONG}<script>never closed", LONG),
+        (f"<article><p>{LONG}<script>never closed", LONG), (f"<p>{LONG}</p><div class='foo", LONG), (f"<!-->{LONG}<!-- no", LONG), (f"<p title=\"x>{LONG}</p>", LONG), (f"<p>{LONG}</ x></p><?php no ?>", LONG),
     ],
 )
 def test_html_text(page, text):
