@@ -264,63 +264,103 @@ def test_line_dedup_of_passages(spark, messy):
 # op8
 
 
-def test_mixing_rakes(documents):
-    targets = {"source": {"src0": 0.2, "src1": 0.3, "*": 0.5}, "lang": {"en": 0.5, "*": 0.5}, "topic": {f"t{k}": None for k in range(6)} | {"none": None}}
-    out = mixing.mix(documents, targets, keep=None).toPandas()
-    mass = out["tokens"] * out["probability"]
-    share = mass.groupby(out["source"].where(out["source"].isin(["src0", "src1"]), "*")).sum() / mass.sum()
-    assert abs(share["src0"] - 0.2) < 1e-3 and abs(share["src1"] - 0.3) < 1e-3
-    assert abs(mass[out["lang"] == "en"].sum() / mass.sum() - 0.5) < 1e-3 and out["probability"].max() == 1.0
-    kept = mixing.mix(documents, targets, keep=0.4).toPandas()
-    assert abs((kept["tokens"] * kept["probability"]).sum() / kept["tokens"].sum() - 0.4) < 1e-6
-    assert (kept["probability"] <= 1).all() and 0.2 < kept["sampled"].mean() < 0.7
-    again = mixing.mix(documents.repartition(3), targets, keep=0.4).toPandas()
-    assert set(again[again["sampled"]]["doc_id"]) == set(kept[kept["sampled"]]["doc_id"])
-
-
-def test_mixing_against_numpy(documents):
-    rows = mixing.with_cells(documents.select("doc_id", "text", "source", "lang"), mixing.TARGETS).select("c0", "c1", "c2", "tokens").toPandas()
-    cells = rows.groupby(["c0", "c1", "c2"])["tokens"].sum().astype(float)
-    w = cells.copy()
-    goals = []
-    for k, shares in enumerate(mixing.TARGETS.values()):
-        own = w.groupby(level=k).sum()
-        g = (own / own.sum()) ** mixing.TEMPER if all(v is None for v in shares.values()) else own.index.to_series().map(shares)
-        goals.append(g / g.sum())
-    for _ in range(mixing.SWEEPS):
-        for k, g in enumerate(goals):
-            ratio = g / w.groupby(level=k).sum()
-            w = w * w.index.get_level_values(k).map(ratio).to_numpy()
-    found = mixing.mix(documents).select("source", "lang", "topic", "weight").distinct().toPandas().set_index(["source", "lang", "topic"])["weight"]
-    for key, v in found.items():
-        assert abs(w[key] - v) < 1e-6
-
-
-def test_exact_mixing_with_another_hot_source(spark, sf):
-    """The pipeline's stage has the target shares, whichever source is hot."""
-    import corpus_pipeline
+GIVEN = {"source": {"src0": 0.2, "src1": 0.06, "*": 0.74}, "lang": {"en": 0.5, "*": 0.5}, "topic": 1.0}
+
+
+def goals_of(out, targets):
+    """Class of each row and target shares by class."""
+    for name, goal in targets.items():
+        if isinstance(goal, dict):
+            classes = out[name].where(out[name].isin(list(goal)), "*")
+        else:
+            classes = out[name].fillna("*")
+            classes = classes.where(out["tokens"].groupby(classes).transform("sum") >= mixing.LEAST_SHARE * out["tokens"].sum(), "*")
+        own = out["tokens"].groupby(classes).sum().astype(float)
+        own = own[own > 0] / own.sum()
+        if isinstance(goal, dict):
+            g = own.index.to_series().map(goal).fillna(0)
+            g /= g.sum()
+        else:
+            named = own.index != "*"
+            g = own.where(~named, own**goal / (own[named] ** goal).sum() * own[named].sum())
+        yield classes, g
+
+
+def weighed(docs, *args, **options):
+    return mixing.weigh(docs, *args, **options).select("row.doc_id", "row.source", "row.lang", "row.text", "topic", "tokens", "weight", "rate", "copies")
+
+
+@pytest.mark.parametrize("hot", ["src0", "src7"])
+def test_mixing_meets_its_targets(spark, sf, hot):
+    """Whichever source is hot, by rate, and nearly so in the sample."""
+    from pactspark.llm.queries import MIXTURE
 
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
-    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("src7")).otherwise(F.col("source")))
-    out = mixing.mix(docs, exact=True).select("doc_id", "source", "lang", "tokens", "probability", "sampled").toPandas()
-    mass = out["tokens"] * out["probability"]
-    for name in ("source", "lang"):
-        shares = mixing.TARGETS[name]
-        classes = out[name].where(out[name].isin(list(shares)), "*")
-        goal = {k: v for k, v in shares.items() if k in set(classes)}
-        got = mass.groupby(classes).sum() / mass.sum()
-        assert all(abs(got[k] - v / sum(goal.values())) < 1e-3 for k, v in goal.items())
-    print("kept share of tokens", mass.sum() / out["tokens"].sum(), "src0", mass[out["source"] == "src0"].sum() / mass.sum())
-    assert corpus_pipeline.mixing_stage(spark, docs, sf).count() == out["sampled"].sum()
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(hot)).otherwise(F.col("source")))
+    for targets in (MIXTURE, GIVEN):
+        out = weighed(docs, targets).toPandas()
+        assert 0 < out["rate"].max() <= 1.0 and set(out["copies"]) <= {0, 1}
+        for mass, far in ((out["tokens"] * out["rate"], mixing.MET), (out["tokens"] * out["copies"], 0.03)):
+            assert all((abs(mass.groupby(c).sum() / mass.sum() - g).fillna(0) <= far).all() for c, g in goals_of(out, targets))
+        print(hot, "kept share of tokens", (out["tokens"] * out["rate"]).sum() / out["tokens"].sum())
+
+
+@pytest.mark.parametrize("amount,most", [(1.0, 1.0), (0.1, 1.0), (3.0, 5.0)])
+def test_mixing_against_numpy(documents, amount, most):
+    from pactspark.llm.queries import MIXTURE
+
+    out = weighed(documents, MIXTURE, amount, most).toPandas()
+    rows = list(goals_of(out, MIXTURE))
+    cells = out["tokens"].groupby([c for c, _ in rows]).sum().astype(float)
+    cells = cells[cells > 0]
+    room = most * min((cells.groupby(level=k).sum() / g).min() for k, (_, g) in enumerate(rows))
+    for level in [*mixing.LEVELS, None]:
+        goal, w = min(amount * cells.sum(), room) * (level or mixing.LEVELS[-1]), cells
+        for _ in range(mixing.SWEEPS):
+            for k, (_, g) in enumerate(rows):
+                w = w * w.index.get_level_values(k).map(goal * g / w.groupby(level=k).sum()).to_numpy()
+                w = np.minimum(w, most * cells) if level else w
+        if not level or max(abs(w.groupby(level=k).sum() / goal - g).max() for k, (_, g) in enumerate(rows)) <= mixing.MET:
+            break
+    rate = w / cells * min(1, most / (w / cells).max())
+    for *key, tokens, weight, r in out.assign(**{f"k{k}": c for k, (c, _) in enumerate(rows)})[["k0", "k1", "k2", "tokens", "weight", "rate"]].itertuples(index=False):
+        if tokens:
+            assert abs(w[tuple(key)] / w.sum() - weight) < 1e-6 and abs(rate[tuple(key)] - r) < 1e-6
+
+
+def test_topics_are_widespread_long_words(documents):
+    texts = [re.findall(r"[^ \t\r\n\x0b\f]+", r.text.lower()) for r in documents.select("text").collect()]
+    long = [[w for x in t if len(w := x.strip(mixing.TRIMMED)) >= 7] for t in texts]
+    spread = defaultdict(int)
+    for t in long:
+        for w in set(t):
+            spread[w] += 1
+    words = sorted((w for w in spread if 2 * spread[w] <= len(texts)), key=lambda w: (-spread[w], w.encode()))[: mixing.TOPICS]
+    assert mixing.topic_words(documents) == words
+    wanted = [max(words, key=lambda w: (t.count(w), -words.index(w))) if any(w in t for w in words) else "none" for t in long]
+    out = mixing.weigh(documents, GIVEN).select("row.text", "topic", "tokens").collect()
+    assert sorted((r.text, r.topic, r.tokens) for r in out) == sorted((r.text, w, len(t)) for r, w, t in zip(documents.select("text").collect(), wanted, texts))
+
+
+def test_mixing_by_joins_and_with_repeats(documents, monkeypatch):
+    docs, targets = documents.withColumn("topic", F.col("lang")), GIVEN | {"topic": {"en": 0.5, "*": 0.5}}  # a column of its own is taken
+    one = weighed(docs, targets, 2.0, 10.0).toPandas()
+    assert set(one["topic"]) == set(one["lang"]) and one["copies"].max() > 1 and abs((one["tokens"] * one["rate"]).sum() / one["tokens"].sum() - 2) < 0.02
+    assert mixing.sample(docs, targets, 2.0, 10.0).count() == one["copies"].sum()
+    monkeypatch.setattr(mixing, "ARRAY_CELLS", 0)
+    monkeypatch.setattr(mixing, "SETTLED", 1e-6)
+    two = weighed(docs, targets, 2.0, 10.0).toPandas()
+    keys = ["doc_id", "text"]
+    assert np.allclose(one.sort_values(keys)["rate"], two.sort_values(keys)["rate"], atol=1e-3)
 
 
 def test_mixing_of_messy_rows(messy):
-    out = mixing.mix(messy)
-    rows = out.collect()
-    assert len(rows) == 9 and all(r.sampled for r in rows if not r.tokens) and {r.topic for r in rows if not r.text} == {"none"}
-    assert set(messy.columns) <= set(out.columns) and mixing.mix(messy.limit(0)).collect() == []
-    with pytest.raises(ValueError):
-        mixing.mix(messy, {"source": {str(k): 1.0 for k in range(400)}, "lang": {str(k): 1.0 for k in range(400)}, "topic": {"t0": 1.0}})
+    found = mixing.weigh(messy, GIVEN)
+    rows = found.collect()
+    assert len(rows) == 9 and all(r.copies == 1 and r.rate == 1 for r in rows if not r.tokens) and {r.topic for r in rows if not r.row.text} == {"none"}
+    assert mixing.sample(messy.withColumn("topic", F.lit(None)).withColumn("copies", F.lit(3)), GIVEN).columns == [*messy.columns, "topic", "copies"]
+    assert {(r.marginal, r["class"]) for r in mixing.shares(found, GIVEN).collect()} >= {("source", "src0"), ("lang", "en")}
+    assert mixing.weigh(messy.limit(0), GIVEN).collect() == [] and mixing.sample(messy.limit(0), GIVEN, 2.0, 2.0).collect() == []
 
 
 # op3
