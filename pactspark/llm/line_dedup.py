@@ -99,16 +99,17 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     return both.groupBy("at", "tie").agg(F.collect_list("r").alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, count: str | None = "removed_lines") -> DataFrame:
     """``docs`` without later repeats of passages of whole lines with ``run_words`` words or more.
 
     Documents go by ascending doc_id (null first), rows of one doc_id by their
     text's hash; the first occurrence stays, also within a document. Rows equal
     in doc_id and text count as one. All rows and columns stay; ``text`` loses
     lines (it may become empty), ``n_chars``, where there is one, follows it, and
-    ``removed_lines`` is added. A null text stays null.
+    the number of removed lines is added under the name ``count``, in place of a column
+    of that name; with None it isn't, and all columns stay. A null text stays null.
     """
-    names = [c for c in docs.columns if c != "removed_lines"]
+    names = [c for c in docs.columns if c != count]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.xxhash64("text").alias("tie"))
     runs = save(repeated_runs(rows.select("at", "tie", F.col("row.text").alias("text")), run_words, gram_words), "runs")
     joined = rows.join(runs.hint("merge"), ["at", "tie"], "left")  # the same plan at every size
@@ -117,4 +118,4 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
     joined = joined.withColumn("new_text", text)
     new = {"text": F.col("new_text"), "n_chars": F.coalesce(F.length("new_text").cast("long"), F.col("row.n_chars") if "n_chars" in names else F.lit(None))}
     removed = F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.size(F.split("row.text", "\n")) - F.size("kept")).cast("long")
-    return joined.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in names), removed.alias("removed_lines"))
+    return joined.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in names), *([removed.alias(count)] if count else []))

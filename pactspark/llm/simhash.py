@@ -33,14 +33,16 @@ from .components import components
 BLOCKS = 5  # blocks of a word of 64 bits
 DEPTH = 12  # bits of a block
 NODE = 16_384  # rows of a node that the shuffle makes, on average, where blocks may have errors
-LEAST_JOB = 256
+LEAST_JOB = NODE
 CHUNK = 200_000  # rows that a task walks at a time, if no job is larger
 LEAF = 16_384  # node pairs with no more row pairs than this are compared row by row
 TINY = 256  # of these, those with no more row pairs than this are compared together
 SIDE = 1024  # rows of either side that are compared at once
 BATCH = 200_000  # links that are handed on together
 FRONT = 100_000  # node pairs that are walked at a time
-MORE = 16  # candidates of a row that are verified after a refused link, times this in each round
+GROUP_BYTES = 8_000_000  # sets of shingles that a task holds of either side
+STEP = 512  # texts of either side whose shared shingles are counted at once
+COLUMNS = 4096  # shingles that are counted at once
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -154,42 +156,6 @@ class _Pairs(_Forest):
         self.root = jump[root]
 
 
-class _Nearest:
-    """The ``most`` closest partners of each index, and which indices have more than those."""
-
-    def __init__(self, most: int, root: np.ndarray, first: np.ndarray, f0: np.ndarray, f1: np.ndarray):
-        self.most, self.root, self.first, self.f0, self.f1 = most, root.copy(), first, f0, f1
-        self.rows = np.zeros((0, 3), np.int64)  # index, partner, differing bits
-        self.more = np.zeros(len(root), bool)
-        self.waiting: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.first[a], self.first[b]
-        open_ = self.root[a] != self.root[b]
-        a, b = a[open_], b[open_]
-        if not len(a):
-            return
-        far = np.bitwise_count(self.f0[a] ^ self.f0[b]).astype(np.int64) + np.bitwise_count(self.f1[a] ^ self.f1[b])
-        self.waiting += [np.column_stack([a, b, far]), np.column_stack([b, a, far])]
-        self.size += 2 * len(a)
-        if self.size > max(1_000_000, len(self.rows)):
-            self.settle()
-
-    def settle(self) -> np.ndarray:
-        rows = np.concatenate([self.rows, *self.waiting])
-        self.waiting, self.size = [], 0
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-        if len(rows):
-            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]]
-            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-            self.more[rows[rank >= self.most, 0]] = True
-            rows = rows[rank < self.most]
-        self.rows = rows
-        return rows
-
-
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """For each sorted range, where the bit at ``depth`` turns to one."""
     shift = (63 - depth).astype(np.uint64)
@@ -306,18 +272,15 @@ def _firsts(ids: np.ndarray) -> np.ndarray:
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _joined(errors: int, total: int, top: int, direct: bool, most: int = 0):
+def _joined(errors: int, total: int, top: int, direct: bool):
     """Jobs come sorted by key; each is one row range, or two by side.
 
     Jobs were walked down ``top`` bits. Out come stars of the components found; with
     ``direct`` the pairs that joined them, the closest ones of each batch first.
-    With ``most`` rows are of a component already, and pairs between components come
-    out: those that join trees, the ``most`` closest of each row, and a loop for
-    each row that has more.
     """
 
     def work(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, side, f0, f1, vid, part, comp = cols if most else [*cols, cols[4]]
+        key, side, f0, f1, vid, part = cols
         u0, u1 = f0.view(np.uint64), f1.view(np.uint64)
         block = (key >> 48).astype(np.int64) & 15
         word, other = np.where(block >= BLOCKS, u1, u0), np.where(block >= BLOCKS, u0, u1)
@@ -325,7 +288,7 @@ def _joined(errors: int, total: int, top: int, direct: bool, most: int = 0):
         values = np.where(turn == 0, word, (word << turn) | (word >> ((np.uint64(64) - turn) % np.uint64(64))))
         job = np.r_[0, np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))]
         order = np.lexsort((values, side, job))
-        job, side, values, other, u0, u1, vid, key, comp = (c[order] for c in (job, side, values, other, u0, u1, vid, key, comp))
+        job, side, values, other, u0, u1, vid, key = (c[order] for c in (job, side, values, other, u0, u1, vid, key))
         starts = np.r_[0, np.flatnonzero(job[1:] != job[:-1]) + 1, len(job)]
         lo, hi = starts[:-1], starts[1:]
         ones = np.r_[0, np.cumsum(side == 1)]
@@ -340,24 +303,11 @@ def _joined(errors: int, total: int, top: int, direct: bool, most: int = 0):
         pairs = pairs[two | (x == y)]  # only one side of a pair of nodes came: nothing to join
         forest = _Pairs(len(vid), u0, u1) if direct else _Forest(len(vid))
         # A fingerprint comes once to each job, and so may stand at several places of a chunk.
-        forest.root[:] = _firsts(comp)
+        forest.root[:] = _firsts(vid)
+        walk(values, other, pairs, errors, total, forest.add)
         if direct:
-            near = _Nearest(most, forest.root, _firsts(vid), u0, u1) if most else None
-
-            def found(a: np.ndarray, b: np.ndarray) -> None:
-                forest.add(a, b)
-                if near:
-                    near.add(a, b)
-
-            walk(values, other, pairs, errors, total, found)
             links = np.array(forest.used, np.int64).reshape(-1, 2)
-            if most:
-                closest, more = near.settle()[:, :2], np.flatnonzero(near.more)
-                links = np.concatenate([links, closest, np.column_stack([more, more])])
-                links = np.unique(np.sort(vid[links], axis=1), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=_EDGE)
             return pa.RecordBatch.from_arrays([pa.array(vid[links[:, 0]]), pa.array(vid[links[:, 1]])], schema=_EDGE)
-        walk(values, other, pairs, errors, total, forest.add)
         member = np.flatnonzero(vid != vid[forest.root])
         links = np.unique(np.column_stack([vid[forest.root[member]], vid[member]]), axis=0) if len(member) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=_EDGE)
@@ -385,13 +335,12 @@ def _masks(bits: int, errors: int) -> list[int]:
     return [sum(1 << k for k in at) for n in range(min(bits, errors) + 1) for at in combinations(range(bits), n)]
 
 
-def links(fps: DataFrame, budget: int, words: int = 1, errors: int | None = None, direct: bool = False, most: int = 0) -> DataFrame:
+def links(fps: DataFrame, budget: int, words: int = 1, errors: int | None = None, direct: bool = False) -> DataFrame:
     """Spanning forests, as ``a, b``, of the pairs of distinct ``id, f0, f1`` within ``budget`` differing bits.
 
     A pair is found if one of its blocks has no more than ``errors`` differing bits; if that is not given, it
     is so large that every pair has such a block. With ``direct`` each row is such a pair itself, otherwise it may
-    stand for a way over others. With ``most``, and ``direct``, rows have a component ``comp``; pairs within one are left out, and beside the
-    forests' pairs come the ``most`` closest of each row and a loop ``a, a`` for each row that has more.
+    stand for a way over others.
     """
     spark = fps.sparkSession
     small_batches(spark)
@@ -411,8 +360,7 @@ def links(fps: DataFrame, budget: int, words: int = 1, errors: int | None = None
         return F.expr(f"shiftrightunsigned({value}, {64 - top})") if top else F.lit(0).cast("long")
 
     blocks = F.array(*(F.struct(F.lit(b).alias("block"), prefix(b, (b % BLOCKS) * size).alias("x")) for b in range(BLOCKS * words)))
-    comp = ["comp"] if most else []
-    placed = fps.select(F.col("id"), "f0", "f1", *comp, F.explode(blocks).alias("at")).select("id", "f0", "f1", *comp, "at.block", "at.x")
+    placed = fps.select(F.col("id"), "f0", "f1", F.explode(blocks).alias("at")).select("id", "f0", "f1", "at.block", "at.x")
     hot = placed.groupBy("block", "x").count().where(F.col("count") > least).select("block", "x", F.ceil(F.col("count") / least).cast("int").alias("g"))
     hot_rows = [(r["block"], r["x"], r["g"]) for r in hot.collect()]
     paired = placed.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn("y", F.col("x").bitwiseXOR(F.col("mask").cast("long")))
@@ -426,9 +374,9 @@ def links(fps: DataFrame, budget: int, words: int = 1, errors: int | None = None
     swap = (F.col("x") > F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("i") > F.col("j")))
     key = F.expr("shiftleft(cast(block as long), 48) | shiftleft(least(x, y), 24) | greatest(x, y)")
     lo, hi = F.when(swap, F.col("j")).otherwise(F.col("i")), F.when(swap, F.col("i")).otherwise(F.col("j"))
-    jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo.cast("long") * 65536 + hi).alias("part"), *comp)
+    jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo.cast("long") * 65536 + hi).alias("part"))
     dealt = jobs.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(_joined(errors, budget, top, direct, most), "a long, b long")
+    return dealt.mapInArrow(_joined(errors, budget, top, direct), "a long, b long")
 
 
 def _shingled(width: int):
@@ -455,45 +403,100 @@ def _held(least: float):
     return run
 
 
-def similar(edges: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the edges whose texts have a Jaccard similarity of ``least`` or more over their sets of shingles."""
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    wanted = save(distinct.join(ends, "id").select("id", F.col("least").alias("key")), "wanted")
-    texts = docs.select("key", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "key").groupBy("id").agg(F.min("text").alias("text"))
-    small_batches(edges.sparkSession)
-    sets = save(texts.mapInArrow(_shingled(width), "id long, s array<long>"), "sets")
-    both = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_held(least), "a long, b long")
+def _matched(least: float):
+    """Rows ``id, f0, f1, comp, s, whole, part, side`` come sorted by whole and part; out come pairs of similar
+    texts that join components, as a forest. Components are those known before."""
+
+    def shared(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each of the sets shares with each of the others."""
+        out = np.zeros((len(p), len(q)), np.float32)
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (p, q)]
+        of = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (p, q)]
+        both = np.intersect1d(*flat)
+        at = [np.searchsorted(both, x) for x in flat]
+        for k, x in enumerate(flat):
+            hit = np.flatnonzero(both[np.minimum(at[k], len(both) - 1)] == x) if len(both) else np.zeros(0, np.int64)
+            order = hit[np.argsort(at[k][hit], kind="stable")]
+            at[k], of[k] = at[k][order], of[k][order]
+        for lo in range(0, len(both), COLUMNS):
+            dense = []
+            for k, x in enumerate((p, q)):
+                i, j = np.searchsorted(at[k], [lo, lo + COLUMNS])
+                m = np.zeros((len(x), min(COLUMNS, len(both) - lo)), np.float32)
+                m[of[k][i:j], at[k][i:j] - lo] = 1
+                dense.append(m)
+            out += dense[0] @ dense[1].T
+        return out
+
+    def job(rows: list[tuple]) -> pa.RecordBatch:
+        ids, f0, f1, comp, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 3, 7))
+        f0, f1, sets = f0.view(np.uint64), f1.view(np.uint64), [r[4] for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        b, lone = (b, False) if len(b) else (a, True)
+        forest = _Pairs(len(ids), f0, f1)
+        forest.root[:] = _firsts(comp)
+        for i in range(0, len(a), STEP):
+            for j in range(i if lone else 0, len(b), STEP):
+                p, q = a[i : i + STEP], b[j : j + STEP]
+                open_ = forest.root[p][:, None] != forest.root[q]
+                # Sets whose sizes differ too much can't be similar.
+                open_ &= (sizes[p][:, None] >= least * sizes[q]) & (least * sizes[p][:, None] <= sizes[q])
+                p, q = p[open_.any(1)], q[open_.any(0)]
+                if not len(p):
+                    continue
+                n = shared([sets[k] for k in p], [sets[k] for k in q])
+                near = (n >= least * (sizes[p][:, None] + sizes[q] - n)) & (forest.root[p][:, None] != forest.root[q])
+                u, v = np.nonzero(near)
+                forest.add(p[u], q[v])
+        links = ids[np.array(forest.used, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=_EDGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            sets = batch.column(4)
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7)))):
+                if held and held[-1][5:7] != row[4:6]:
+                    yield job(held)
+                    held = []
+                held.append((*row[:4], sets[k].values.to_numpy(), *row[4:]))
+        if held:
+            yield job(held)
+
+    return run
 
 
 def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budget: int, errors: int | None, least: float) -> DataFrame:
-    """Links whose texts have a similarity of ``least`` or more, with the components of all such candidates.
+    """Links between texts with a Jaccard similarity of ``least`` or more over their sets of shingles.
 
-    A refused link may have hidden others between the trees it joined. So the
-    components with a refused link to another are walked again for candidates
-    between components, with MORE times as many a row each time, until no row has
-    a candidate that was not held against the texts.
+    The pairs that join the candidates' trees are held against the texts first. A refused one may hide others
+    between the same trees; so where a tree of candidates falls apart into several components, all pairs between
+    these are held against the texts, in blocks: no similar pair that candidates join is lost.
     """
     fps = distinct.select("id", "f0", "f1")
     edges = save(links(fps, budget, words, errors, True).distinct(), "edges")
-    good = save(similar(edges, distinct, docs, width, least), "links")
-    open_, most = None, MORE
-    while True:
-        roots = components(good)
-        ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"c{c}")) for c in "ab"]
-        parted = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        parted = save(parted.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct(), "parted")
-        if parted.isEmpty():
-            return good
-        rows = fps if open_ is None else fps.join(open_, "id")
-        rows = rows.join(roots, "id", "left").select("id", "f0", "f1", F.coalesce("root", "id").alias("comp")).join(parted, "comp")
-        rows = save(rows.select("id", "f0", "f1", "comp"), "rows")
-        if rows.isEmpty():
-            return good
-        found = save(links(rows, budget, words, errors, True, most).distinct(), "edges")
-        open_, edges = found.where("a = b").select(F.col("a").alias("id")), found.where("a <> b")
-        good = save(good.union(similar(edges, distinct, docs, width, least)), "links")
-        most *= MORE
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    wanted = save(distinct.join(ends, "id").select("id", F.col("least").alias("key")), "wanted")
+    texts = docs.select("key", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "key").groupBy("id").agg(F.min("text").alias("text"))
+    small_batches(edges.sparkSession)
+    sets = save(texts.mapInArrow(_shingled(width), "id long, s array<long>"), "sets")
+    both = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    good = save(both.select("a", "b", "sa", "sb").mapInArrow(_held(least), "a long, b long"), "links")
+    trees, found = components(edges), components(good)
+    members = trees.select("id", F.col("root").alias("whole")).join(found, "id", "left").select("id", "whole", F.coalesce("root", "id").alias("comp")).join(sets, "id")
+    members = save(members, "members")
+    apart = members.groupBy("whole").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(8 * F.size("s") + 64).alias("bytes"))
+    # Of two texts the one link is known to be none. A table of its own, so that a large tree's partition can be split in the join.
+    apart = save(apart.where("n > 2 AND lo <> hi").select("whole", F.ceil(F.col("bytes") / GROUP_BYTES).cast("int").alias("g")), "apart")
+    if apart.isEmpty():
+        return good
+    rows = members.join(apart, "whole").withColumn("i", F.pmod(F.xxhash64("id", F.lit("group")), F.col("g")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).join(fps, "id")
+    part = F.least("i", "j").cast("long") * 2**31 + F.greatest("i", "j")
+    rows = rows.select("id", "f0", "f1", "comp", "s", "whole", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"))
+    more = rows.repartition("whole", "part").sortWithinPartitions("whole", "part").mapInArrow(_matched(least), "a long, b long")
+    return save(good.union(more), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, words: int = 2, budget: int = 19, errors: int | None = None, least: float | None = None) -> DataFrame:
