@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pactspark.llm import line_dedup, mixing, pieces, quality, simhash
 from pactspark.llm.common import new_folder, table
+from pactspark.llm.queries import MIXTURE
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages go out of the texts; all documents stay."""
-    return line_dedup.dedup_lines(docs).drop("removed_lines")
+    return line_dedup.dedup_lines(docs, count=None)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target weights; fewer are kept where the corpus cannot meet them otherwise."""
-    return mixing.mix(docs, exact=True).where("sampled").select(*docs.columns)
+    """Documents are sampled to the target weights."""
+    return mixing.sample(docs, MIXTURE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
