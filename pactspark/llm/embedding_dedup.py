@@ -6,6 +6,9 @@ A pair counts in the first table only in which its hashes agree, so counts of
 partners add up. A bucket emits counts and a spanning forest of its links, never
 its pairs; a bucket above its share of rows is split into groups whose pairs are
 tasks of their own.
+
+Vectors are shuffled once a table, so tables are few and buckets large: within a
+bucket products of single precision pick the pairs that are compared exactly.
 """
 
 from __future__ import annotations
@@ -23,26 +26,37 @@ from .components import components
 from .simhash import _Forest
 
 MIN_COSINE = 0.9
-RECALL = 0.98  # of pairs at the least cosine; closer pairs are found more often
-BUCKET = 64  # vectors that a bucket should hold on average
-LEAST_JOB = 256
+RECALL = 0.99  # of pairs at the least cosine; closer pairs are found more often
+BUCKET = 1024  # vectors that a bucket should hold on average
+LEAST_JOB = 4096
+MOST_JOB = 100_000  # vectors of a bucket that a task holds
+FEW = 10_000  # hot buckets whose table is broadcast
+SINGLE = 1e-4  # more than single precision can be off for unit vectors
 BLOCK = 1024
 CHUNK = 20_000
 
 
 def tables_for(n: int, cosine: float = MIN_COSINE, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a hash and number of tables for ``n`` vectors."""
-    bits = min(max(math.ceil(math.log2(max(n, 2) / BUCKET)), 6), 24)
+    bits = min(max(math.ceil(math.log2(max(n, 2) / BUCKET)), 2), 24)
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def _planes(bits: int, tables: int, seed: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).normal(size=(dim, bits * tables))
+
+
+def _codes(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """The hash of each vector in each table."""
+    return ((x @ planes > 0).reshape(len(x), -1, bits) @ (1 << np.arange(bits))).astype("<i4")
+
+
 def _signed(bits: int, tables: int, seed: int, kind: str):
     """Hashes of each vector, and the vector itself as bytes of its own kind (``<f4`` or ``<f8``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
             ids, m, vectors = batch.column(0), batch.column(1), batch.column(2)
             lens = np.diff(vectors.offsets.to_numpy())
@@ -52,10 +66,8 @@ def _signed(bits: int, tables: int, seed: int, kind: str):
                 at = np.flatnonzero(lens == dim)
                 raw = flat[starts[at][:, None] + np.arange(dim)]
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), bits * tables))
-                x = _unit(raw)
-                signs = (x @ planes[dim] > 0).reshape(len(at), tables, bits) @ weights
-                codes = signs.astype("<i4")
+                    planes[dim] = _planes(bits, tables, seed, int(dim))
+                codes = _codes(_unit(raw), planes[dim], bits)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), m.take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(list(codes)), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())], ["id", "m", "dim", "codes", "vector"])
 
     return run
@@ -70,23 +82,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
 
-def _compared(cosine: float, kind: str):
+def _compared(cosine: float, kind: str, bits: int, tables: int, seed: int):
     """Rows come sorted by table, bucket and part; out come counts (n) and links (other)."""
 
-    def job(table: int, side: np.ndarray, ids, m, codes, x) -> tuple[np.ndarray, np.ndarray]:
+    def near(x: np.ndarray, y: np.ndarray, small: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = np.nonzero(small @ other.T >= cosine - SINGLE)
+        if 8 * len(u) > len(x) * len(y):
+            return np.nonzero(x @ y.T >= cosine)
+        hold = [np.einsum("ij,ij->i", x[u[k : k + 50_000]], y[v[k : k + 50_000]]) >= cosine for k in range(0, len(u), 50_000)]
+        hold = np.concatenate(hold) if hold else np.zeros(0, bool)
+        return u[hold], v[hold]
+
+    def job(table: int, side: np.ndarray, m, x, planes) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         lone = not len(b)
-        counts, forest = np.zeros(len(ids), np.int64), _Forest(len(ids))
-        b = a if lone else b
+        counts, forest, codes = np.zeros(len(m), np.int64), _Forest(len(m)), None
+        small, b = x.astype(np.float32), a if lone else b
         for i in range(0, len(a), BLOCK):
             p = a[i : i + BLOCK]
             for j in range(i if lone else 0, len(b), BLOCK):
                 q = b[j : j + BLOCK]
-                u, v = np.nonzero(x[p] @ x[q].T >= cosine)
+                u, v = near(x[p], x[q], small[p], small[q])
                 if lone and i == j:
                     u, v = u[u < v], v[u < v]
                 u, v = p[u], q[v]
-                if table:
+                if table and len(u):
+                    if codes is None:
+                        codes = _codes(x, planes[:, : bits * table], bits)
                     new = np.ones(len(u), bool)
                     for t in range(table):
                         new &= codes[u, t] != codes[v, t]
@@ -96,8 +118,10 @@ def _compared(cosine: float, kind: str):
                 forest.add(u, v)
         return counts, forest.root
 
+    planes: dict[int, np.ndarray] = {}
+
     def work(cols: list) -> pa.RecordBatch:
-        key, dim, part, side, table, ids, m, codes, vectors = cols
+        key, dim, part, side, table, ids, m, vectors = cols
         edge = np.flatnonzero((key[1:] != key[:-1]) | (dim[1:] != dim[:-1]) | (table[1:] != table[:-1]) | (part[1:] != part[:-1])) + 1
         out: list[tuple] = []
         for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(key)]):
@@ -107,7 +131,9 @@ def _compared(cosine: float, kind: str):
             if part[lo] >= 0 and part[lo] >> 16 != part[lo] & 65535 and (s.all() or not s.any()):
                 continue  # the other group of the pair has no rows
             x = _unit(np.frombuffer(b"".join(vectors[lo:hi]), kind).reshape(hi - lo, -1))
-            counts, root = job(int(table[lo]), s, ids[lo:hi], m[lo:hi], np.stack(codes[lo:hi]), x)
+            if int(dim[lo]) not in planes:
+                planes[int(dim[lo])] = _planes(bits, tables, seed, int(dim[lo]))
+            counts, root = job(int(table[lo]), s, m[lo:hi], x, planes[int(dim[lo])])
             own = ids[lo:hi]
             at = np.flatnonzero(counts)
             out.append((own[at], np.full(len(at), -1), counts[at]))
@@ -119,7 +145,7 @@ def _compared(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)])
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)])
             size += batch.num_rows
             if size >= CHUNK:
                 cols = [np.concatenate(c) for c in zip(*held)]
@@ -156,22 +182,22 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE, recall: float =
     n = groups.count()
     bits, tables = tables_for(n, cosine, recall)
     hashed = save(groups.select("id", "m", "v").mapInArrow(_signed(bits, tables, seed, kind), "id long, m long, dim int, codes array<int>, vector binary"), "hashes")
-    placed = hashed.select("id", "m", "dim", "codes", "vector", F.posexplode("codes").alias("table", "bucket"))
-    # Buckets above a task's share: at most twice as many as there are partitions.
+    placed = hashed.select("id", "m", "dim", "vector", F.posexplode("codes").alias("table", "bucket"))
     n_parts = partitions(spark)
-    least = max(LEAST_JOB, n * tables // (2 * n_parts))
+    least = min(max(LEAST_JOB, n * tables // (2 * n_parts)), MOST_JOB)
     tally = hashed.select("dim", F.posexplode("codes").alias("table", "bucket")).groupBy("dim", "table", "bucket").count()
-    hot = [(r["dim"], r["table"], r["bucket"], -(-r["count"] // least)) for r in tally.where(F.col("count") > least).collect()]
-    if hot:
-        placed = placed.join(F.broadcast(spark.createDataFrame(hot, "dim int, table int, bucket int, g int")), ["dim", "table", "bucket"], "left")
+    hot = save(tally.where(F.col("count") > least).select("dim", "table", "bucket", F.ceil(F.col("count") / least).cast("int").alias("g")), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        placed = placed.join(F.broadcast(hot) if n_hot <= FEW else hot.hint("merge"), ["dim", "table", "bucket"], "left")
         g = F.coalesce("g", F.lit(1))
         placed = placed.withColumn("i", F.pmod(F.xxhash64("id", F.lit("group")), g).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), g - 1)))
     else:
         placed = placed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     part = F.least("i", "j") * 65536 + F.greatest("i", "j")
-    jobs = placed.select(F.col("bucket").cast("long").alias("key"), "dim", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"), "table", "id", "m", "codes", "vector")
+    jobs = placed.select(F.col("bucket").cast("long").alias("key"), "dim", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"), "table", "id", "m", "vector")
     order = ["table", "key", "dim", "part"]
-    found = save(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(cosine, kind), "id long, other long, n long"), "links")
+    found = save(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(cosine, kind, bits, tables, seed), "id long, other long, n long"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = groups.drop("v").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(counts, "id", "left")

@@ -168,6 +168,8 @@ def test_deep_and_odd_pages(spark):
 
 def test_embeddings_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "LEAST_JOB", 16)
+    monkeypatch.setattr(embedding_dedup, "MOST_JOB", 40)
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 64)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 24))
     x = np.vstack([rng.normal(size=(300, 24)), centres[rng.integers(0, 12, 200)] + 0.12 * rng.normal(size=(200, 24)), np.repeat(centres[:2], 60, axis=0), centres[2] + 0.1 * rng.normal(size=(150, 24))])
