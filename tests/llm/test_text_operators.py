@@ -53,19 +53,46 @@ def test_multiset_hash_is_homomorphic():
     assert multiset_hash.likeness(a, a) == 1.0 and multiset_hash.likeness(a, b) < 0.2
 
 
+def shingles_of(text):
+    """Brute force: how many paragraphs hold each shingle."""
+    out = defaultdict(int)
+    for p in text.split("\n"):
+        w = p.split()
+        for x in {tuple(w[k : k + multiset_hash.WORDS]) for k in range(max(1, len(w) - multiset_hash.WORDS + 1))} if w else ():
+            out[x] += 1
+    return out
+
+
+def dice(a, b):
+    x, y = shingles_of(a), shingles_of(b)
+    norms = sum(n * n for n in x.values()) + sum(n * n for n in y.values())
+    return 1.0 if a == b else 2 * sum(n * y.get(k, 0) for k, n in x.items()) / norms if norms else 0.0
+
+
 def test_edited_fingerprints(documents):
     rows = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
     found = {r.doc_id: r for r in multiset_hash.edited_fingerprints(documents).collect()}
-    h = multiset_hash.Hasher()
+    far, names = [], defaultdict(set)
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         new = t[: len(t) - half] + after[:half] if half else t
         r = found[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert r.fingerprint == multiset_hash.digest(h.text(t)) and r.edited_fingerprint == multiset_hash.digest(h.text(new))
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-    assert np.mean([found[i].near_edited > found[i].near_next for i, _ in rows]) > 0.95
+        names[r.fingerprint].add(tuple(sorted(t.split("\n")) if t else ()))
+        names[r.edited_fingerprint].add(tuple(sorted(new.split("\n")) if new else ()))
+        far += [r.near_edited - dice(t, new), r.near_next - dice(t, after)]
+    assert all(len(x) == 1 for x in names.values()) and len(names) == len({next(iter(x)) for x in names.values()})
+    assert np.mean(np.abs(far)) < 0.015 and np.max(np.abs(far)) < 0.08
+
+
+def test_vectors_follow_their_paragraphs(documents):
+    h = multiset_hash.Hasher()
+    for r in multiset_hash.fingerprint_vectors(documents.withColumn("vector", F.lit(1))).limit(50).join(documents, "doc_id").collect():
+        v, parts = multiset_hash.unpack(r.vector), multiset_hash.paragraphs(r.text)
+        shorter = multiset_hash.remove(v, h.paragraph(parts[0])) if parts else v
+        assert r.fingerprint == multiset_hash.digest(v) == multiset_hash.digest(multiset_hash.total(map(h.paragraph, reversed(parts))))
+        assert multiset_hash.digest(shorter) == multiset_hash.digest(h.text("\n".join(parts[1:]))) or len(parts) == 2 and not parts[1]
 
 
 def test_edited_fingerprints_of_messy_rows(spark, messy):
@@ -76,6 +103,18 @@ def test_edited_fingerprints_of_messy_rows(spark, messy):
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_edited_fingerprints_of_a_hot_id(spark):
+    """A third of all rows has one id, and many of those one text."""
+    rows = [(7, f"text number {k} of one id") for k in range(150)] + [(7, "the same")] * 150 + [(k, f"text {k}") for k in range(100, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = multiset_hash.edited_fingerprints(df).collect()
+    order = [(r.doc_id, r.text) for r in df.orderBy("doc_id", F.xxhash64("text")).collect()]
+    wanted = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert sorted((r.doc_id, r.edited_sha256) for r in found) == sorted(wanted)
+    bounds = multiset_hash._bounds([7] * 9 + [100, 200])
+    assert len(bounds) == 11 and bounds == sorted(bounds) and len({b for b in bounds if b[0] == 7}) == 9
+
+
 # op2
 
 
