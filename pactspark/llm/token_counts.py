@@ -10,6 +10,7 @@ row a document. What goes back to a block is one sum per document.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -27,6 +28,7 @@ from .common import partitions, small_batches
 BLOCK_DOCS = 4096  # an index within a block fits in two bytes
 BLOCK_CHARS = 16_000_000  # a longer single document still makes one block
 CACHE_WORDS = 300_000
+MOST_PIECES = 1_000_000  # pre-tokens whose counts a task holds; a bucket with more counts the rarer ones again
 HEADER = -1
 
 _POSTING = np.dtype([("doc", "<u2"), ("n", "u1")])
@@ -47,24 +49,56 @@ def _load(path: str):
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
 
 
+#: What a tokenizer must count here as its library does, or is refused.
+_PROBES = ("it's  a b\tc\n\n d 12 x,y", " lead", "trail ", "a b", "Ünï ΣΑΣ 漢字 🎉\xa0é", "x" * 40, "don't WON'T we're", "a - b_c (d) 3.14 e-mail", "", " ", "A  B   C", "é e\u0301 \u1e9e")
+
+
 class PreTokens:
     """Splits texts into words, and words into pre-tokens, as the tokenizer does.
 
-    White space never lies inside a pre-token of the splitter, so words are split
-    off first and each distinct word is pre-tokenised once. Special strings stand
-    apart before normalisation, as the library does it. Texts below U+0250 are
+    Where the splitter never puts white space into a pre-token, words are split
+    off first and each distinct word is pre-tokenised once; otherwise whole texts are.
+    Special strings stand apart before normalisation, as the library does it. Texts below U+0250 are
     composed already; if the normaliser is the chain NFC, white space to blanks,
-    lower case, then ``lower().split()`` gives the same words.
+    lower case, then ``lower().split()`` gives the same words. A tokenizer whose
+    counts over probes differ from its library's raises a ValueError, as do added
+    tokens that take in blanks, stand for whole words or are normalised.
     """
 
     def __init__(self, tok):
         self.tok = tok
-        specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+        added = tok.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("added tokens with lstrip, rstrip, single_word or normalized are not handled")
+        specials = [t.content for t in added]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         rule = json.loads(tok.to_str())["normalizer"] or {}
         self.plain = rule.get("normalizers") == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        probes = [*_PROBES, *(x for s in specials for x in (s, f"a{s}b", f"a {s} b  {s.upper()}{s}"))]
+        pieces = piece_counter(tok)
+        for self.by_word in (True, False):
+            self.reset()
+            if all(sum(n * self.pieces_of(w, pieces) for w, n in Counter(self.words(x)).items()) == len(tok.encode(x, add_special_tokens=False).ids) for x in probes) and (not self.by_word or all(map(self._cuts, probes))):
+                break
+        else:
+            raise ValueError("this tokenizer's counts are not sums over its pre-tokens")
         self.reset()
 
+    def _normal(self, text: str) -> str:
+        return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+
+    def _split(self, text: str) -> list[str]:
+        return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)] if self.tok.pre_tokenizer else [text] if text else []
+
+    def _cuts(self, text: str) -> bool:
+        """Whether a text has the same pre-tokens word by word."""
+        return [p for w in self._normal(text).split(" ") if w for p in self._split(w)] == self._split(self._normal(text))
+
+    def pieces_of(self, word: str, pieces) -> int:
+        k = self.id_of(word)
+        spelt = list(self.token_id)
+        return sum(pieces(spelt[t]) for t in self.flat[self.start[k] : self.start[k + 1]])
+
     def reset(self) -> None:
         self.word_id: dict[str, int] = {}
         self.token_id: dict[str, int] = {}
@@ -80,22 +114,43 @@ class PreTokens:
         return out
 
     def _words(self, text: str) -> list[str]:
+        if not self.by_word:
+            return ["P" + p for p in self._split(self._normal(text))]
         if self.plain and not _ODD.search(text):
             return text.lower().split()
-        normal = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
-        return [w for w in normal.split(" ") if w]
+        return [w for w in self._normal(text).split(" ") if w]
 
     def id_of(self, word: str) -> int:
         """The word's number; its pre-tokens' numbers lie in flat[start[number]:start[number + 1]]."""
         k = self.word_id.get(word)
         if k is None:
             k = self.word_id[word] = len(self.word_id)
-            for p in [word[1:]] if word[0] == " " else [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)]:
+            for p in ["S" + word[1:]] if word[0] == " " else ["P" + p for p in self._split(word)] if self.by_word else [word]:
                 self.flat.append(self.token_id.setdefault(p, len(self.token_id)))
             self.start.append(len(self.flat))
         return k
 
 
+def piece_counter(tok):
+    """How many pieces a pre-token has, by its name: S and a special string, or P and a part of a text."""
+    known: dict[str, int] = {}
+    older: dict[str, int] = {}
+
+    def count(name: str) -> int:
+        nonlocal known, older
+        n = known.get(name)
+        if n is None:
+            if len(known) >= MOST_PIECES // 2:
+                known, older = {}, known
+            n = older.get(name)
+            if n is None:
+                n = 1 if name[0] == "S" else len(tok.model.tokenize(name[1:]))
+            known[name] = n
+        return n
+
+    return count
+
+
 def _blocks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = PreTokens(_load(path))
@@ -135,9 +190,12 @@ def _blocks(path: str, buckets: int):
             runs = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
             ends = np.r_[runs[1:], len(token)] if len(runs) else runs
             raw = entries.tobytes()
-            # The name holds the block's content: an attempt that reads other rows makes other blocks.
-            name = f"{zlib.crc32(body):08x}{zlib.adler32(raw):08x}-{len(ids)}"
             spelt = list(pre.token_id)
+            # The name is a digest of the block's content: an attempt that reads other rows makes other blocks.
+            seal = hashlib.blake2b(body, digest_size=16)
+            seal.update(raw)
+            seal.update("\0".join(f"{len(spelt[t])} {spelt[t]}" for t in token[runs].tolist()).encode("utf-8", "surrogatepass"))
+            name = seal.hexdigest()
             per: list[list] = [[] for _ in range(buckets)]
             size = _POSTING.itemsize
             for t, a, b in zip(token[runs].tolist(), runs.tolist(), ends.tolist()):
@@ -147,7 +205,7 @@ def _blocks(path: str, buckets: int):
             for b, found in enumerate(per):
                 if found:
                     lens = np.array([x[1] for x in found], "<u4").tobytes()
-                    rows.append((b, len(found), name, zlib.compress(b"\n".join(x[0] for x in found), 1), zlib.compress(lens + b"".join(x[2] for x in found), 1)))
+                    rows.append((b, len(found), name, zlib.compress(np.array([len(x[0]) for x in found], "<u4").tobytes() + b"".join(x[0] for x in found), 1), zlib.compress(lens + b"".join(x[2] for x in found), 1)))
             ids, sizes, held, times, chars = [], [], [], [], 0
             if len(pre.word_id) > CACHE_WORDS:
                 pre.reset()
@@ -178,9 +236,7 @@ def _counted(path: str):
     """For each block and bucket: tokens per document of the block. A bucket's pre-tokens are counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _load(path)
-        pieces: dict[str, int] = {}
-        special = {t.content for t in tok.get_added_tokens_decoder().values()}
+        pieces = piece_counter(_load(path))
         for batch in batches:
             out = []
             for slot, block, words, postings in zip(*(batch.column(k).to_pylist() for k in ("slot", "block", "words", "postings"))):
@@ -191,11 +247,10 @@ def _counted(path: str):
                 lens = np.frombuffer(raw[: 4 * slot], "<u4")
                 entries = np.frombuffer(raw[4 * slot :], _POSTING)
                 counts = np.empty(slot, np.int64)
-                for k, w in enumerate(zlib.decompress(words).decode("utf-8", "surrogatepass").split("\n")):
-                    n = pieces.get(w)
-                    if n is None:
-                        n = pieces[w] = 1 if w in special else len(tok.model.tokenize(w))
-                    counts[k] = n
+                spelt = zlib.decompress(words)
+                ends = (4 * slot + np.cumsum(np.frombuffer(spelt[: 4 * slot], "<u4"))).tolist()
+                for k, (i, j) in enumerate(zip([4 * slot, *ends], ends)):
+                    counts[k] = pieces(spelt[i:j].decode("utf-8", "surrogatepass"))
                 sums = np.bincount(entries["doc"], weights=np.repeat(counts, lens) * entries["n"].astype(np.float64))
                 at = np.flatnonzero(sums)
                 out.append((0, block, at.astype("<u2").tobytes(), sums[at].astype("<i8").tobytes()))
@@ -221,6 +276,8 @@ def _gathered(group: pa.Table) -> pa.Table:
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text, as ``tokenizers`` counts them without begin and end tokens.
 
+    A tokenizer that can't be counted by pre-tokens raises a ValueError here (see PreTokens).
+
     One row per input row: ``doc_id, n_bytes, n_tokens, over_limit``. Null and
     empty texts have no bytes and no tokens; a null id stays null; repeated rows
     stay repeated; an empty table gives none; other columns are ignored. The
@@ -228,6 +285,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     task is repeated.
     """
     spark = docs.sparkSession
+    PreTokens(_load(path))
     small_batches(spark)
     buckets = max(1, partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -19,10 +19,22 @@ ODD_TEXTS = ["<|endoftext|> it's Ünï ΣΑΣ 'll<|startoftext|>", "<|ENDOFTEXT|
 # op10
 
 
-def test_token_counts(spark, documents):
+def metaspace(tmp_path):
+    """The word tokenizer behind another splitter, which marks the blanks of each text."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.normalizer = normalizers.Lowercase()
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Metaspace(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tok.save(str(tmp_path / "m.json"))
+    return str(tmp_path / "m.json")
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", metaspace])
+def test_token_counts(spark, documents, name, tmp_path):
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = name(tmp_path) if callable(name) else public_tokenizers.path(name)
     tok = Tokenizer.from_file(path)
     docs = documents.select("doc_id", "text").union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(ODD_TEXTS)], "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -33,6 +45,20 @@ def test_token_counts(spark, documents):
         assert (found[k].n_tokens, found[k].n_bytes, found[k].over_limit) == (n, len(t.encode()), n > 300)
 
 
+def test_other_tokenizers_are_refused(tmp_path, monkeypatch):
+    from tokenizers import AddedToken, Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.add_special_tokens([AddedToken("<x>", lstrip=True)])
+    with pytest.raises(ValueError):
+        token_counts.PreTokens(tok)
+    words = token_counts.PreTokens(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    assert words.by_word and not token_counts.PreTokens(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))).by_word
+    monkeypatch.setattr(token_counts, "MOST_PIECES", 2)
+    count = token_counts.piece_counter(words.tok)
+    assert [count("P" + w) for w in ("tion", "xqzw", "tion", "a", "xqzw")] == [len(words.tok.model.tokenize(w)) for w in ("tion", "xqzw", "tion", "a", "xqzw")] and count("S<|endoftext|>") == 1
+
+
 def test_token_counts_of_messy_rows(messy):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = [(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(messy, path).collect()]
