@@ -3,8 +3,13 @@
 Trusted positives and unlabelled web text train a small network on text features;
 the training minimises the non-negative unbiased risk
 ``prior * E_p[l(g, +)] + max(0, E_u[l(g, -)] - prior * E_p[l(g, -)])``
-under an estimated class prior. Where labelled negatives exist in the training
-fold they only serve to estimate the prior and to set the scale of the score.
+under an estimated class prior. Labelled negatives are never read. The prior comes
+from positives and unlabelled text alone: a scorer that tells the two apart is
+trained on half of the positives, and the prior is the least ratio of the shares of
+unlabelled texts and of the other positives above a threshold, where its bound is
+best. Positives come to the driver as a bounded sample. Unlabelled texts start the
+training as a sample; the prior and the last steps of the training take all of them,
+as sums over partitions.
 """
 
 from __future__ import annotations
@@ -20,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import save, small_batches
 
-#: Bounds of the samples that the model is fitted on.
-MAX_LABELLED = 20_000
-MAX_UNLABELLED = 20_000
+MAX_LABELLED = 20_000  # positives that the model is fitted on, about
+START = 20_000  # unlabelled texts that start the training, about
+STEPS = 8  # steps of the training that take all unlabelled texts
 HIDDEN = 24
 EPOCHS = 60
 BATCH = 512
 RATE = 0.01
 DECAY = 1e-4
+BINS = 1000
+LEAST_POSITIVES = 20  # with fewer the prior is taken for one half
 N_FEATURES = 25
 
 
@@ -79,92 +86,103 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray]
-    slope: float = 1.0
-    offset: float = 0.0
+    prior: float = 0.5
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.scale, -8, 8)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.weights
-        z = np.clip((x - self.centre) / self.scale, -8, 8)
-        return (np.tanh(z @ a + b) @ c + d)[:, 0]
+        return (np.tanh(self.scaled(x) @ a + b) @ c + d)[:, 0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.raw(x) + self.offset)
+        return _sigmoid(self.raw(x))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def estimate_prior(positives: int, negatives: int) -> float:
-    """Share of positives among labelled rows, smoothed; one half without any."""
-    return min(max((positives + 1) / (positives + negatives + 2), 0.02), 0.98)
+def sums(weights: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+    """Rows, the sum of s, and its gradient, over rows z: s is the loss of calling a row negative, 1 - s that of calling it positive."""
+    a, b, c, d = weights
+    h = np.tanh(z @ a + b)
+    s = _sigmoid((h @ c + d)[:, 0])
+    dg = (s * (1 - s))[:, None]
+    dh = dg * c.T * (1 - h * h)
+    return np.concatenate([[len(z), s.sum()], (z.T @ dh).ravel(), dh.sum(0), (h.T @ dg).ravel(), dg.sum(0)])
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk and the step's direction, from sums; where the negative part is below zero the step undoes that instead."""
+    p, u = positive[1:] / positive[0], unlabelled[1:] / unlabelled[0]
+    rest = u[0] - prior * p[0]
+    if rest >= 0:
+        return prior * (1 - p[0]) + rest, u[1:] - 2 * prior * p[1:]
+    return prior * (1 - p[0]), prior * p[1:] - u[1:]
+
+
+class _Adam:
+    def __init__(self, weights: list[np.ndarray]):
+        self.weights, self.t = weights, 0
+        n = sum(w.size for w in weights)
+        self.m1, self.m2 = np.zeros(n), np.zeros(n)
+        self.decay = np.concatenate([np.full(w.size, DECAY if w.ndim == 2 else 0.0) for w in weights])
+
+    def step(self, gradient: np.ndarray, rate: float) -> None:
+        gradient = gradient + self.decay * np.concatenate([w.ravel() for w in self.weights])
+        self.t += 1
+        self.m1 += 0.1 * (gradient - self.m1)
+        self.m2 += 0.001 * (gradient * gradient - self.m2)
+        move, at = rate * (self.m1 / (1 - 0.9**self.t)) / (np.sqrt(self.m2 / (1 - 0.999**self.t)) + 1e-8), 0
+        for w in self.weights:
+            w -= move[at : at + w.size].reshape(w.shape)
+            at += w.size
+
+
+def start(both: np.ndarray, seed: int = 1) -> Model:
+    rng = np.random.default_rng(seed)
+    n = both.shape[1]
+    return Model(both.mean(0), both.std(0) + 1e-6, [rng.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)])
+
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, times: np.ndarray | None = None, epochs: int = EPOCHS, seed: int = 1) -> Model:
+    """Minimise the non-negative risk with the sigmoid loss, by Adam on mini-batches; ``times`` says how often each unlabelled row stands.
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 1) -> Model:
-    """Minimise the non-negative risk with the sigmoid loss, by Adam on mini-batches."""
+    Without a prior, tell positives from unlabelled rows.
+    """
     rng = np.random.default_rng(seed)
-    both = np.vstack([positive, unlabelled])
-    model = Model(both.mean(0), both.std(0) + 1e-6, [rng.normal(0, both.shape[1] ** -0.5, (both.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)])
-    if not len(positive) or not len(unlabelled):
-        model.weights[2][:] = 0
-        return model
-    zp, zu = (np.clip((x - model.centre) / model.scale, -8, 8) for x in (positive, unlabelled))
-    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights]
+    model = start(np.vstack([positive, unlabelled]), seed)
+    model.prior = prior or 0.5
+    zp, zu = model.scaled(positive), model.scaled(unlabelled)
+    adam, share = _Adam(model.weights), None if times is None else times / times.sum()
     steps = max(1, len(zu) // BATCH)
-    t = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(zu))
+        order = rng.permutation(len(zu)) if share is None else rng.choice(len(zu), len(zu), p=share)
         for part in np.array_split(order, steps):
-            u, p = zu[part], zp[rng.integers(0, len(zp), min(len(part), max(len(zp), 1)))]
-            a, b, c, d = model.weights
-            x = np.vstack([p, u])
-            h = np.tanh(x @ a + b)
-            g = (h @ c + d)[:, 0]
-            s = _sigmoid(g)  # the loss of calling a row negative; of calling it positive: 1 - s
-            slope = s * (1 - s)
-            np_, nu = len(p), len(u)
-            negative_part = s[np_:].mean() - prior * s[:np_].mean()
-            dg = np.zeros_like(g)
-            if negative_part >= 0:
-                dg[:np_] = -prior * slope[:np_] / np_ - prior * slope[:np_] / np_
-                dg[np_:] = slope[np_:] / nu
-            else:  # undo the overfit of the negative part instead
-                dg[:np_] = prior * slope[:np_] / np_
-                dg[np_:] = -slope[np_:] / nu
-            dh = dg[:, None] * c.T * (1 - h * h)
-            grads = [x.T @ dh + DECAY * a, dh.sum(0), h.T @ dg[:, None] + DECAY * c, np.array([dg.sum()])]
-            t += 1
-            rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
-            for w, gr, (m1, m2) in zip(model.weights, grads, moments):
-                m1 += 0.1 * (gr - m1)
-                m2 += 0.001 * (gr * gr - m2)
-                w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+            p, u = sums(model.weights, zp[rng.integers(0, len(zp), len(part))]), sums(model.weights, zu[part])
+            direction = u[2:] / u[0] - p[2:] / p[0] if prior is None else risk(p, u, prior)[1]
+            adam.step(direction, RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4)
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Set the score's scale by logistic regression on the one output, if both labels occur."""
-    if not 0 < y.sum() < len(y):
-        return model
-    g = model.raw(x)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    w = np.array([1.0, 0.0])
-    design = np.column_stack([g, np.ones_like(g)])
-    ridge = np.diag([0.1, 1e-3])
-    for _ in range(100):
-        s = _sigmoid(design @ w)
-        hessian = design.T @ (design * (s * (1 - s))[:, None]) + ridge
-        step = np.linalg.solve(hessian, design.T @ (s - target) + ridge @ w)
-        w = w - step * min(1.0, 1.0 / (np.linalg.norm(step) + 1e-12))
-    if np.isfinite(w).all() and w[0] > 0:
-        model.slope, model.offset = map(float, w)
-    return model
+def best_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from counts of scores by ascending bins: the ratio of shares above the threshold at which its upper bound is least."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    above_p, above_u = (np.cumsum(x[::-1])[::-1] / max(x.sum(), 1) for x in (positive, unlabelled))
+    slack = np.sqrt(np.log(4 / 0.1) / 2) * (n_p**-0.5 + n_u**-0.5)
+    used = above_p > 0
+    bound = (above_u[used] + 1.01 * slack) / above_p[used]
+    k = int(np.argmin(bound))
+    return float(np.clip((above_u[used] / above_p[used])[k], 0.02, 0.98))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(x).tolist() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            rows = [features(x).tolist() for x in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*part.schema.names[:-1], "x"])
 
 
 def held_out(doc_id):
@@ -172,67 +190,100 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on rows outside the held-out fold; held-out labels are never read.
+def featurise(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns to keep, or all), ``key`` (doc_id), ``held_out`` and ``x`` (features of the whole text) of each row, as a table."""
+    small_batches(docs.sparkSession)
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
+    rows = docs.select(row.alias("row"), F.col("doc_id").try_cast("long").alias("key"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return save(rows.mapInArrow(_featured, f"row {rows.schema['row'].dataType.simpleString()}, key long, held_out boolean, x array<double>"), "features")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _totals(rows: DataFrame, of) -> np.ndarray:
+    """The sum of ``of(x)`` over all batches of rows; few numbers a task come to the driver."""
 
-    Rows with a null label or id are left out, null texts count as empty ones, and
-    of a labelled id that is repeated one text is taken. Without labels or without
-    documents every score is one half. ``max_labelled`` and ``max_unlabelled``
-    bound the samples that come to the driver, as features of N_FEATURES numbers.
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [of(_matrix(b.column(0))) for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0).tolist()], pa.list_(pa.float64()))], ["v"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_matrix(b.column(0)).sum(0) for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0).tolist()], pa.list_(pa.float64()))], ["v"])
+
+    found = rows.select("x").mapInArrow(first, "v array<double>").repartition(16).mapInArrow(second, "v array<double>").collect()
+    return np.sum(sorted(r["v"] for r in found), axis=0)
+
+
+def train(rows: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, started_on: int = START, steps: int = STEPS) -> Model:
+    """Fit on rows of featurise outside the held-out fold; held-out labels are never read.
+
+    Positives are the ids whose labels are all 1; ids with another or no label, null
+    ids and null labels are none. Null texts count as empty ones, and of a labelled
+    id that is repeated one row is taken. Without positives or without
+    documents every score is one half. ``max_labelled`` bounds the positives and ``started_on`` the unlabelled
+    rows that come to the driver, as features of N_FEATURES numbers.
     """
-    small_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
-    tally = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    n_docs = texts.select("doc_id").count()
-    few, n_known = known.distinct(), sum(tally.values())  # of one id there are no more rows than labels
-    if n_known > max_labelled:
-        few = few.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**31)) < int(max_labelled / n_known * 2**31))
-    # About max_labelled rows at most, hence the broadcast. One text for each labelled id, however often it is repeated.
-    labelled = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
-    # By chance and not by id: a repeated id must not decide over the size of the sample. The same files give the same rows.
-    web = texts if n_docs <= max_unlabelled else texts.where(F.rand(11) < max_unlabelled / n_docs)
-    web = web.select(F.lit(-1).alias("y"), "text")
-    rows = labelled.unionByName(web).mapInArrow(_featured, "y int, x array<double>").toPandas()
-    y = rows["y"].to_numpy()
-    if not len(y):
+    web = rows.where("NOT held_out AND key IS NOT NULL").select("key", "x")
+    known = labels.select(F.col("doc_id").try_cast("long").alias("key"), F.col(label).try_cast("int").alias("y")).where("key IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("key")))
+    good = known.groupBy("key").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = 1 AND hi = 1").select("key")
+    n_good, n_web = good.count(), web.count()
+
+    def some(df: DataFrame, n: int, most: int, *by: str) -> DataFrame:
+        """About ``most`` of n rows, by a hash, so that partitions do not matter."""
+        return df if n <= most else df.where(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(2**31)) < int(most / n * 2**31))
+
+    # About max_labelled ids at most, hence the broadcast.
+    positive = web.join(F.broadcast(some(good, n_good, max_labelled, "key")), "key").groupBy("key").agg(F.min("x").alias("x")).select("x", F.lit(0).cast("long").alias("n"))
+    unlabelled = some(web, n_web, started_on, "key", "x").groupBy("key", "x").agg(F.count("*").alias("n")).select("x", "n")
+    found = positive.unionByName(unlabelled).toPandas()
+    n = found["n"].to_numpy()
+    if not (n == 0).any() or not (n > 0).any():
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [np.zeros((N_FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)])
-    x = np.array(rows["x"].tolist(), dtype=np.float64)
-    order = np.lexsort((*x.T, y))  # the order in which tasks ended doesn't matter
-    x, y = x[order], y[order]
-    positives = tally.get(1, 0)
-    prior = estimate_prior(positives, sum(tally.values()) - positives)
-    model = fit(x[y == 1], x[y == -1], prior)
-    return calibrate(model, x[y >= 0], y[y >= 0])
+    x = np.array(found["x"].tolist(), dtype=np.float64)
+    order = np.lexsort((*x.T, n))  # the order in which tasks ended doesn't matter
+    x, n = x[order], n[order]
+    p, u, times = x[n == 0], x[n > 0], n[n > 0]
+    prior = 0.5
+    if len(p) >= LEAST_POSITIVES:
+        scorer = fit(p[::2], u, None, times)
+
+        def counted(z: np.ndarray) -> np.ndarray:
+            return np.histogram(scorer.score(z), BINS, (0, 1))[0].astype(float)
+
+        prior = best_ratio(counted(p[1::2]), _totals(web, counted))
+    model = fit(p, u, prior, times)
+    zp, adam = model.scaled(p), _Adam(model.weights)
+    for _ in range(steps):
+        adam.step(risk(sums(model.weights, zp), _totals(web, lambda z: sums(model.weights, model.scaled(z))), prior)[1], 1e-3)
+    return model
 
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            x = np.array([features(t) for t in texts]).reshape(len(texts), -1)
-            s = model.score(x) if len(texts) else np.zeros(0)
+            # Rounded, as the last digits go by a row's place in its batch.
+            s = model.score(_matrix(batch.column(batch.num_columns - 1))).round(12) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of each row, from its whole text.
+def score_documents(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of each row of featurise.
 
     Null texts are scored as empty ones; repeated rows stay; other columns are
-    ignored and never inputs.
+    ignored and never inputs; an id that is no number becomes null.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double")
+    scored = rows.select(F.col("key").alias("doc_id"), "held_out", "x").mapInArrow(_scored(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
-    small_batches(docs.sparkSession)
-    names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("scored_text"))
+def keep_good(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose text scores ``least`` or more, with all the columns that featurise kept."""
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
-    return rows.mapInArrow(_scored(model), schema).where(F.col("score") >= least).select("row.*")
+    return rows.select("row", "x").mapInArrow(_scored(model), schema).where(F.col("score") >= least).select("row.*")

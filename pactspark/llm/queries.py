@@ -11,10 +11,10 @@ from .common import table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import score_documents, train
+    from .quality import featurise, score_documents, train
 
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    rows = featurise(table(spark, sf_dir, "documents"), ["doc_id"])
+    return score_documents(rows, train(rows, table(spark, sf_dir, "labels")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ BLOCKS = 5  # blocks of a word of 64 bits
 DEPTH = 12  # bits of a block
 NODE = 16_384  # rows of a node that the shuffle makes, on average, where blocks may have errors
 LEAST_JOB = NODE
-CHUNK = 200_000  # rows that a task walks at a time, if no job is larger
+CHUNK = 100_000  # rows that a task walks at a time, if no job is larger
 LEAF = 16_384  # node pairs with no more row pairs than this are compared row by row
 TINY = 256  # of these, those with no more row pairs than this are compared together
 SIDE = 1024  # rows of either side that are compared at once

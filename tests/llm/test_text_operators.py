@@ -478,31 +478,80 @@ def test_encoding_documents(spark, documents, messy, library):
 # op1
 
 
-def test_quality_on_the_held_out_fold(spark, sf, messy):
-    sf = sf.replace("0.001", "0.01")
+@pytest.mark.parametrize("sf_name", ["sf0.01", "sf0.1"])
+def test_quality_on_the_held_out_fold(spark, sf, sf_name):
+    sf = sf.replace("sf0.001", sf_name)
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.train(docs, labels)
-    found = quality.score_documents(docs, model).join(labels, "doc_id").toPandas()
+    rows = quality.featurise(docs, ["doc_id"])
+    model = quality.train(rows, labels)
+    found = quality.score_documents(rows, model).join(labels, "doc_id").toPandas()
     held = found[found["held_out"]]
-    assert (held["predicted"] == held["quality"]).mean() > 0.95 and found["score"].between(0, 1).all() and ((found["score"] >= 0.5) == (found["predicted"] == 1)).all()
-    odd = quality.score_documents(messy, model)
-    rows = odd.collect()
-    assert len(rows) == 9 and len({r.score for r in rows if r.doc_id in (2, 3)}) == 1 and not any(r.held_out for r in rows if r.doc_id is None)
-    assert quality.keep_good(messy, model, 0.0).columns == messy.columns and quality.keep_good(messy, model, 0.0).count() == 9
-    nothing = quality.train(docs.limit(0), labels.limit(0))
-    assert quality.score_documents(messy, nothing).where("score = 0.5").count() == 9 and quality.score_documents(messy.limit(0), model).collect() == []
+    share = labels.where("quality = 1").count() / labels.count()
+    print("prior", model.prior, "share of positives among labels", share, "accuracy", (held["predicted"] == held["quality"]).mean())
+    assert abs(model.prior - share) < 0.08
+    assert (held["predicted"] == held["quality"]).mean() > 0.97 and found["score"].between(0, 1).all() and ((found["score"] >= 0.5) == (found["predicted"] == 1)).all()
 
 
-def test_labels_of_the_held_out_fold_are_not_read(spark, sf):
+def test_quality_of_messy_rows(spark, sf, messy):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    one, two = quality.train(docs, labels), quality.train(docs, turned)
-    assert all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights)) and one.slope == two.slope
-
-
-def test_non_negative_risk():
+    model = quality.train(quality.featurise(docs), labels)
+    rows = quality.featurise(messy.withColumn("x", F.lit(1)).withColumn("score", F.lit("a")))
+    odd = quality.score_documents(rows, model).collect()
+    assert len(odd) == 9 and len({r.score for r in odd if r.doc_id in (2, 3)}) == 1 and not any(r.held_out for r in odd if r.doc_id is None)
+    kept = quality.keep_good(rows, model, 0.0)
+    assert kept.columns == [*messy.columns, "x", "score"] and kept.count() == 9
+    nothing = quality.train(quality.featurise(docs.limit(0)), labels.limit(0))
+    assert quality.score_documents(rows, nothing).where("score = 0.5").count() == 9 and quality.score_documents(quality.featurise(messy.limit(0)), model).collect() == []
+    assert quality.keep_good(quality.featurise(docs.limit(0)), nothing).columns == docs.columns
+
+
+def test_labels_that_are_not_read(spark, sf):
+    """Those of the held-out fold, those other than 1, and ids with both."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.featurise(docs)
+    held = quality.held_out(F.col("doc_id"))
+    good = [r.doc_id for r in labels.where("quality = 1").where(~held).orderBy("doc_id").limit(1).collect()]
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).when(F.col("quality") == 0, F.element_at(F.array(*map(F.lit, (-1, 2, None))), (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(F.col("quality")))
+    more = turned.unionByName(turned.where("quality = 1").withColumn("quality", F.when(F.col("doc_id") == good[0], F.lit(1)).otherwise(F.lit(None).cast("int"))))
+    conflicting = labels.unionByName(labels.where(F.col("doc_id") == good[0]).withColumn("quality", F.lit(0)))
+    one, two, three, four = (quality.train(rows, x) for x in (labels, more, conflicting, labels.where(F.col("doc_id") != good[0])))
+    assert all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights)) and one.prior == two.prior
+    assert all(np.array_equal(a, b) for a, b in zip(three.weights, four.weights))
+
+
+def brute_risk(weights, zp, zu, prior):
+    def loss(z, y):
+        return np.mean([1 / (1 + np.exp(y * float(np.tanh(row @ weights[0] + weights[1]) @ weights[2][:, 0] + weights[3][0]))) for row in z])
+
+    return prior * loss(zp, 1) + max(0, loss(zu, -1) - prior * loss(zp, -1))
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(2)
+    zp, zu = rng.normal(0.3, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    weights = [rng.normal(size=s) for s in ((5, 3), (3,), (3, 1), (1,))]
+    for prior in (0.2, 0.4):
+        value, step = quality.risk(quality.sums(weights, zp), quality.sums(weights, zu), prior)
+        assert abs(value - brute_risk(weights, zp, zu, prior)) < 1e-12
+        slopes, plain = [], brute_risk(weights, zp, zu, prior)
+        for w in weights:
+            for k in np.ndindex(w.shape):
+                w[k] += 1e-6
+                slopes.append((brute_risk(weights, zp, zu, prior) - plain) / 1e-6)
+                w[k] -= 1e-6
+        assert np.abs(step - slopes).max() < 1e-4
+    # where the negative part is below zero, the step raises it
+    value, step = quality.risk(np.r_[1.0, 0.9, np.ones(4)], np.r_[1.0, 0.1, np.zeros(4)], 0.5)
+    assert abs(value - 0.05) < 1e-12 and (step == 0.5).all()
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_prior_from_positives_and_unlabelled_rows(prior):
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(1, 1, (3000, 4)), rng.normal(-1, 1, (1000, 4))
-    model = quality.fit(good[:1500], np.vstack([good[1500:], bad]), 0.6)
-    assert (model.score(good) > 0.5).mean() > 0.9 and (model.score(bad) < 0.5).mean() > 0.9
-    assert quality.estimate_prior(0, 0) == 0.5
+    n = int(4000 * prior)
+    good, web = rng.normal(1.5, 1, (1500, 4)), np.vstack([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (4000 - n, 4))])
+    scorer = quality.fit(good[::2], web, None)
+    found = quality.best_ratio(*(np.histogram(scorer.score(x), quality.BINS, (0, 1))[0].astype(float) for x in (good[1::2], web)))
+    assert abs(found - prior) < 0.06
+    model = quality.fit(good, web, found)
+    assert (model.score(web[:n]) > 0.5).mean() > 0.9 and (model.score(web[n:]) < 0.5).mean() > 0.9
