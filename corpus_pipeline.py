@@ -16,7 +16,8 @@ from pactspark.llm.queries import MIXTURE
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    rows = quality.featurise(docs)
+    return quality.keep_good(rows, quality.train(rows, table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
