@@ -1,13 +1,15 @@
 """WARC archives: segmented writing, and reading back by segment reassembly.
 
 Writing: a payload's HTTP message (chunked transfer framing) becomes one record,
-or, beyond ``segment_bytes``, a first record and continuation records. Spark's
-text writer puts the records into ``.warc.gz`` files, so any Hadoop store will do.
+or, beyond ``segment_bytes``, a first record and continuation records; each record
+is a gzip member of its own. Spark's text writer puts them into files, so any
+Hadoop store will do: its line end is an empty gzip member, at which large archives
+are split among tasks again when they are read.
 
 Reading: records of every archive are parsed by their Content-Length, segments are
 grouped by the origin's identifier, ordered by segment number and streamed through
 a length check and a decoder of the chunked framing; no payload is held whole
-unless it is asked for.
+unless it is asked for. Revisits are held against the record they refer to.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from .common import new_folder, save, small_batches
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
 REVISIT_FROM = 1000  # payloads below this many bytes are always written in full
-FILE_ROWS = 16  # rows of about ROW_BYTES in one archive
+FILE_ROWS = 1000  # rows of about ROW_BYTES in one archive
 ROW_BYTES = 1_000_000
+#: A gzip member without content.
+_EMPTY = bytes((0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0))
 _END = b"\r\n\r\n"
 _SPACE = uuid.UUID("6f0a3c52-3d0f-5f0e-9a44-0f6d1c9b7e21")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -47,6 +51,11 @@ def _chunked(payload: bytes, size: int) -> bytes:
     return b"".join(out) + b"0\r\n\r\n"
 
 
+def _member(record: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record + _END) + z.flush()
+
+
 def records_of(page_id, url, html: str | None, digest: str, refers_to, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The records of one page, without the end mark."""
     payload = (html or "").encode("utf-8", "surrogatepass")
@@ -74,13 +83,13 @@ def _writer(segment_bytes: int, chunk_bytes: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 for record in records_of(*row, segment_bytes, chunk_bytes):
-                    held.append(record)
-                    size += len(record)
+                    held.append(_member(record))
+                    size += len(held[-1])
                     if size >= ROW_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)], pa.binary())], ["value"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([_END.join(held)], pa.binary())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
     return run
 
@@ -108,58 +117,91 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     small_batches(pages.sparkSession)
     rows = plan_records(pages, revisit_from).mapInArrow(_writer(segment_bytes, chunk_bytes), "value binary")
     writer = rows.select(F.col("value").cast("string").alias("value")).write
-    writer.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    writer.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_ROWS).text(path)
+
+
+DAMAGE: dict[str, str] = {"warc-type": "damage"}  # fields that stand for bytes which make no record
 
 
-def parse_records(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record, from bytes or pieces of them."""
+def parse_records(data: bytes | Iterator[bytes | None]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record, from bytes or pieces of them.
+
+    Bytes that make no record, and a None among the pieces, give DAMAGE and an empty
+    block, and reading goes on at the next record; a record that is cut short has
+    the block that there is.
+    """
     pieces = iter((data,)) if isinstance(data, bytes) else data
-    held, at = b"", 0
+    held, at, ended, broken = b"", 0, False, False
 
     def more() -> bool:
-        nonlocal held, at
-        piece = next(pieces, None)
-        if piece is None:
+        nonlocal held, at, ended, broken
+        if ended or broken:
+            return False
+        try:
+            piece = next(pieces)
+        except StopIteration:
+            ended = True
+            return False
+        if piece is None:  # what is held and what follows do not belong together
+            broken = True
             return False
         held, at = held[at:] + piece, 0
         return True
 
     while True:
-        while held[at : at + 2] == b"\r\n":
+        while held.startswith(b"\r\n", at):
             at += 2
         if len(held) - at < 2 and more():
             continue
         if at == len(held):
-            return
+            if broken:
+                broken = False
+                yield DAMAGE, b""
+                continue
+            if ended:
+                return
         end = held.find(_END, at)
         if end < 0 and more():
             continue
-        if not held.startswith(b"WARC/1.", at) or end < 0:
-            raise ValueError("no WARC record where one should begin")
-        lines = held[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        head, length = end + 4 - at, int(fields["content-length"])
-        parts, size = [held[at:]], len(held) - at
-        while size < head + length:
-            piece = next(pieces, None)
-            if piece is None:
-                raise ValueError("a record is cut short")
-            parts.append(piece)
-            size += len(piece)
-        held, at = (b"".join(parts), 0) if len(parts) > 1 else (held, at)
-        yield fields, held[at + head : at + head + length]
-        at += head + length
-
-
-def _inflated(data: bytes) -> Iterator[bytes]:
-    """The bytes of a gzip file, a part at a time."""
+        fields, length = {}, ""
+        if held.startswith(b"WARC/1.", at) and end >= 0:
+            lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()) or "warc-type" not in fields or "warc-record-id" not in fields:
+            yield DAMAGE, b""
+            while (end := held.find(b"\r\nWARC/1.", at + 1)) < 0 and more():
+                pass
+            if end < 0 and (ended or broken):
+                held, at, broken = b"", 0, False
+            else:
+                at = end
+            continue
+        start, size = end + 4 - at, int(length)
+        while len(held) - at < start + size and more():
+            pass
+        yield fields, held[at + start : at + start + size]
+        at = min(at + start + size, len(held))
+
+
+def _inflated(data: bytes) -> Iterator[bytes | None]:
+    """The bytes of a gzip file, a part at a time; None where they can't be read or end too early."""
     while data:
         z = zlib.decompressobj(47)
-        part = z.decompress(data, ROW_BYTES)
-        while part:
-            yield part
-            part = z.decompress(z.unconsumed_tail, ROW_BYTES)
-        data = z.unused_data
+        try:
+            part = z.decompress(data, ROW_BYTES)
+            while part:
+                yield part
+                # After the end the tail may hold what is in unused_data already.
+                part = b"" if z.eof else z.decompress(z.unconsumed_tail, ROW_BYTES)
+            rest = z.unused_data if z.eof else None
+        except zlib.error:
+            rest = None
+        if rest is None:
+            yield None
+            following = data.find(b"\x1f\x8b\x08", 1)
+            rest = data[following:] if following > 0 else b""
+        data = rest
 
 
 class HttpBody:
@@ -168,6 +210,7 @@ class HttpBody:
     def __init__(self):
         self.head, self.rest, self.chunked, self.left, self.state = b"", b"", False, None, "head"
         self.length: int | None = None
+        self.plain = 0
 
     def feed(self, data: bytes) -> Iterator[bytes]:
         data = self.rest + data
@@ -181,9 +224,10 @@ class HttpBody:
                 self.head, data = data[:end], data[end + 4 :]
                 fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in self.head.split(b"\r\n")[1:]))
                 self.chunked = fields.get(b"transfer-encoding", b"").lower() == b"chunked"
-                self.length = int(fields[b"content-length"]) if b"content-length" in fields else None
+                self.length = int(fields[b"content-length"]) if fields.get(b"content-length", b"").isdigit() else None
                 self.state = "size" if self.chunked else "plain"
             elif self.state == "plain":
+                self.plain += len(data)
                 yield data
                 return
             elif self.state == "size":
@@ -218,18 +262,19 @@ class HttpBody:
 
     @property
     def whole(self) -> bool:
-        return self.state == "done" or self.state == "plain"
+        return self.state == "done" or self.state == "plain" and self.length in (None, self.plain)
 
 
-_SEGMENT = pa.schema([("origin", pa.string()), ("write", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary()), ("bytes", pa.int64()), ("ok", pa.bool_())])
-_SEGMENT_SQL = "origin string, write string, number int, total long, type string, page_id long, url string, digest string, refers_to long, block binary, bytes long, ok boolean"
-_WHOLE = 0  # number of a record that was decoded where it was read; its block stays behind
-_PAYLOAD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary())])
-_PAYLOAD_SQL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload binary"
+_SEGMENT = pa.schema([("origin", pa.string()), ("write", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("target", pa.string()), ("block", pa.binary()), ("bytes", pa.int64()), ("ok", pa.bool_())])
+_SEGMENT_SQL = "origin string, write string, number int, total long, type string, page_id long, url string, digest string, refers_to long, target string, block binary, bytes long, ok boolean"
+_READ = ("response", "revisit", "continuation")  # of a record's first segment that is there
+_WHOLE = 0  # number of a record that was decoded where it was read; its block is the payload, if that is wanted
+_PAYLOAD = pa.schema([("record_id", pa.string()), ("target", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary())])
+_PAYLOAD_SQL = "record_id string, target string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload binary"
 
 
 def _number(x: str | None) -> int | None:
-    return None if x in (None, "", "None") else int(x)
+    return int(x) if x and x.lstrip("-").isascii() and x.lstrip("-").isdigit() else None
 
 
 def _segments(keep: bool):
@@ -241,16 +286,22 @@ def _segments(keep: bool):
             for content in batch.column(0):
                 rows, size = [], 0
                 for f, block in parse_records(_inflated(content.as_py())):
-                    n = _number(f.get("warc-segment-number"))
+                    n, kind = _number(f.get("warc-segment-number")), f["warc-type"].lower()
+                    if n is None and kind not in ("response", "revisit", "damage"):
+                        continue
+                    record = f.get("warc-record-id", "")
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    row = (f.get("warc-segment-origin-id", f["warc-record-id"]), f.get("write-id", ""), n or 1, _number(f.get("warc-segment-total-length")) if n else len(block), f["warc-type"], _number(f.get("page-id")), f.get("warc-target-uri"), digest, _number(f.get("refers-to-page-id")), block, None, None)
-                    if n is None and not keep:
-                        one = _Payload(row, False)
+                    total = _number(f.get("warc-segment-total-length")) if n else _number(f.get("content-length"))
+                    row = (f.get("warc-segment-origin-id", record), f.get("write-id", ""), n or 1, total, kind, _number(f.get("page-id")), f.get("warc-target-uri"), digest, _number(f.get("refers-to-page-id")), f.get("warc-refers-to"), block, None, None)
+                    if kind == "damage":
+                        row = (*row[:2], _WHOLE, *row[3:10], None, None, False)
+                    elif n is None:
+                        one = _Payload(row, keep)
                         one.add(row)
-                        _, _, _, _, count, found, ok, _ = one.row()
-                        row = (*row[:2], _WHOLE, None, *row[4:7], found, row[8], None, count, ok)
+                        found = one.row()
+                        row = (*row[:2], _WHOLE, None, *row[4:7], found[7], *row[8:10], found[9], found[6], found[8])
                     rows.append(row)
-                    size += len(row[9] or b"") + 200
+                    size += len(row[10] or b"") + 200
                     if size > ROW_BYTES:
                         yield batch_of(rows)
                         rows, size = [], 0
@@ -264,12 +315,14 @@ class _Payload:
     """One record from its segments, in order."""
 
     def __init__(self, row: tuple, keep: bool):
-        self.type, self.page_id, self.url, self.digest, self.refers_to = row[4:9]
+        self.record, (self.type, self.page_id, self.url, self.digest, self.refers_to, self.target) = row[0], row[4:10]
         self.http, self.sha, self.bytes, self.seen, self.total, self.next, self.ok = HttpBody(), hashlib.sha1(), 0, 0, None, 1, True
         self.kept: list[bytes] | None = [] if keep else None
 
     def add(self, row: tuple) -> None:
-        number, total, block = row[2], row[3], row[9]
+        number, total, block = row[2], row[3], row[10]
+        if number < self.next:  # the segment stands in several archives
+            return
         self.ok &= number == self.next
         self.next = number + 1
         self.seen += len(block)
@@ -285,11 +338,15 @@ class _Payload:
                 self.ok = False
 
     def row(self) -> tuple:
+        names = self.record, self.target, self.page_id, self.url
         if self.type == "revisit":
-            return self.page_id, self.url, self.type, self.refers_to, self.http.length, self.digest, self.ok and self.http.length is not None, None
+            ok = self.ok and self.seen == self.total and self.http.length is not None
+            return *names, self.type, self.refers_to, self.http.length, self.digest, ok, None
+        if self.type == "continuation":  # the first segment is missing
+            return None, None, None, None, "damage", None, None, None, False, None
         found = self.sha.hexdigest()
         ok = self.ok and self.http.whole and self.seen == self.total and found == self.digest
-        return self.page_id, self.url, self.type, self.refers_to, self.bytes, found, ok, b"".join(self.kept) if self.kept is not None else None
+        return *names, self.type, self.refers_to, self.bytes, found, ok, b"".join(self.kept) if self.kept is not None else None
 
 
 def _assembled(keep: bool):
@@ -302,13 +359,14 @@ def _assembled(keep: bool):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[2] == _WHOLE:
-                    out.append((row[5], row[6], row[4], row[8], row[10], row[7], row[11], None))
-                    if len(out) >= 1000:
+                    out.append((row[0], row[9], row[5], row[6], row[4], row[8], row[11], row[7], row[12], row[10]))
+                    size += len(row[10] or b"")
+                    if len(out) >= 1000 or size > ROW_BYTES:
                         yield batch_of(out)
                         out, size = [], 0
                     continue
                 if now is None or key != row[:2]:
-                    if now is not None:
+                    if now is not None and now.type in _READ:
                         out.append(now.row())
                         size += now.bytes if keep else 0
                     key, now = row[:2], _Payload(row, keep)
@@ -316,7 +374,7 @@ def _assembled(keep: bool):
                 if len(out) >= 1000 or size > ROW_BYTES:
                     yield batch_of(out)
                     out, size = [], 0
-        if now is not None:
+        if now is not None and now.type in _READ:
             out.append(now.row())
         if out:
             yield batch_of(out)
@@ -325,18 +383,28 @@ def _assembled(keep: bool):
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per response or revisit record of all archives in ``path``.
+    """A row per response or revisit record of all archives in ``path``: those of write_warc, and files ``*.gz``.
 
     ``page_id, url, record_type, refers_to, payload_bytes, payload_digest,
     verified, payload``. ``verified`` is false where segments are missing, the
-    total length or the digest differ, or the framing is broken. A revisit has
-    the length and digest it declares and a null payload; with ``payloads``
-    false no payload is returned.
+    total length, the body's length or the digest differ, or the framing is broken. A revisit has
+    the length and digest it declares, and the payload of the record it refers to; it is verified if
+    that one is there, verified, and of that length and digest. Bytes that make no record, the rest of a
+    file that ends too early, and segments without a first one give a row of the type ``damage``, unverified and
+    otherwise null; the other records are read. A segmented record that stands in several archives is one. Other types of records give no rows; with ``payloads``
+    false no payload is returned. A file ``*.gz`` is held whole by its task.
     """
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    own = spark.read.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.txt").text(path).select(F.col("value").cast("binary").alias("content"))
+    files = own.union(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content"))
     segments = files.mapInArrow(_segments(payloads), _SEGMENT_SQL).repartition("origin", "write")
-    return segments.sortWithinPartitions("origin", "write", "number").mapInArrow(_assembled(payloads), _PAYLOAD_SQL)
+    found = save(segments.sortWithinPartitions("origin", "write", "number").mapInArrow(_assembled(payloads), _PAYLOAD_SQL), "records")
+    others = found.where("record_type <> 'revisit'").drop("record_id", "target")
+    target = found.where("record_type = 'response' AND verified").groupBy(F.col("record_id").alias("target"), "payload_digest", "payload_bytes").agg(F.min("payload").alias("of"), F.lit(True).alias("there"))
+    # Both sides are plain shuffles of a large join, so that a record which many refer to can be split in it.
+    revisits = found.where("record_type = 'revisit'").drop("payload", "record_id").join(target.hint("merge"), ["target", "payload_digest", "payload_bytes"], "left")
+    revisits = revisits.withColumn("verified", F.col("verified") & F.coalesce("there", F.lit(False))).withColumnRenamed("of", "payload").drop("target", "there")
+    return others.unionByName(revisits)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -33,6 +33,7 @@ def test_warc_odd_pages(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS key"), path)
     found = warc.read_warc(spark, path).collect()
+    assert {bytes(r.payload) for r in found if r.refers_to} == {b"a" * 1000}
     assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in found if r.page_id != 1) == [(0, 1000, "revisit", 9), (2, 0, "response", None), (3, 0, "response", None), (7, 999, "response", None), (8, 999, "response", None), (9, 1000, "response", None)]
     assert [bytes(r.payload).decode() for r in found if r.page_id == 1] == [tricky] * 2 and all(r.verified for r in found)
     empty = str(tmp_path / "e")
@@ -50,16 +51,65 @@ def test_warc_segments():
     assert total == sum(len(b) for _, b in parsed)
 
     def read(blocks, total=total):
-        p = warc._Payload((None, None, 1, None, "response", 5, "u", digest, None, None), True)
+        p = warc._Payload((None, None, 1, None, "response", 5, "u", digest, None, None, None), True)
         for k, b in blocks:
-            p.add((None, None, k, total if k == len(raw) else None, None, None, None, None, None, b))
+            p.add((None, None, k, total if k == len(raw) else None, None, None, None, None, None, None, b))
         return p.row()
 
     blocks = [(k + 1, b) for k, (_, b) in enumerate(parsed)]
     assert read(blocks)[-2:] == (True, b"0123456789" * 30)
     assert not read(blocks[:1] + blocks[2:])[-2] and not read(blocks, total + 1)[-2] and not read(blocks[:-1])[-2]
-    with pytest.raises(ValueError):
-        list(warc.parse_records(raw[0] + b"junk"))
+    assert [f["warc-type"] for f, _ in warc.parse_records(raw[0] + b"\r\n\r\njunk\r\n\r\n" + raw[1])] == ["response", "damage", "continuation"]
+    for step in (1, 7, 1000):
+        data = b"\r\n\r\n".join(raw)
+        pieces = (data[k : k + step] for k in range(0, len(data), step))
+        assert [b for _, b in warc.parse_records(pieces)] == [b for _, b in parsed]
+
+
+def record(kind, number, body, head=b"", **fields):
+    block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + body
+    names = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:x:{number}>", "Page-ID": number, "WARC-Payload-Digest": "sha1:" + hashlib.sha1(body).hexdigest(), **{k.replace("_", "-"): v for k, v in fields.items()}}
+    return warc._record(list(names.items()), block)
+
+
+def test_reading_archives_of_others(spark, tmp_path):
+    """Other record types, wrong lengths, broken bytes, archives that end too early, revisits without their target."""
+    import gzip
+
+    def member(x):
+        return gzip.compress(x + b"\r\n\r\n")
+
+    body = b"some text"
+    good = [
+        member(record("warcinfo", 1, b"")), member(record("response", 2, body)), member(record("response", 3, body, b"Content-Length: 9\r\n")), member(record("response", 4, body, b"Content-Length: 99\r\n")), member(record("request", 5, body)),
+        member(record("revisit", 6, b"", b"Content-Length: 9\r\n", WARC_Refers_To="<urn:x:2>", WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest())),
+        member(record("revisit", 7, b"", b"Content-Length: 8\r\n", WARC_Refers_To="<urn:x:2>", WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest())),
+        member(record("revisit", 8, b"", b"Content-Length: 9\r\n", WARC_Refers_To="<urn:x:88>", WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest())),
+        member(record("request", 9, body, WARC_Segment_Number=1)), member(record("continuation", 10, body, WARC_Segment_Number=2, WARC_Segment_Origin_ID="<urn:x:9>", WARC_Segment_Total_Length=5)),
+        member(record("continuation", 11, body, WARC_Segment_Number=2, WARC_Segment_Origin_ID="<urn:x:99>", WARC_Segment_Total_Length=5)),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(good))
+    (tmp_path / "b.warc.gz").write_bytes(good[1].replace(b"x", b"x") + b"\x1f\x8b\x08 broken" + member(b"WARC/1.1\r\nno fields\r\n\r\n") + member(record("response", 12, body)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record("response", 13, body) + b"\r\n\r\n")[:-4])
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(record("response", 14, body)[:-3]))
+    found = [(r.page_id, r.record_type, r.verified, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert sorted((x for x in found if x[0]), key=str) == sorted([(2, "response", True, body)] * 2 + [(3, "response", True, body), (4, "response", False, body), (6, "revisit", True, body), (7, "revisit", False, None), (8, "revisit", False, None), (12, "response", True, body), (13, "response", True, body), (14, "response", False, body[:-3])], key=str)
+    assert all(x == (None, "damage", False, None) for x in found if not x[0]) and 3 <= sum(not x[0] for x in found) <= 5
+    short = [(r.page_id, r.verified) for r in warc.read_warc(spark, str(tmp_path), payloads=False).collect() if r.page_id]
+    assert sorted(short) == sorted((x[0], x[2]) for x in found if x[0])
+
+
+def test_archives_are_split_among_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 2000)
+    rows = [(k, "u", f"page {k} " * 200) for k in range(400)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    found = warc.read_warc(spark, path).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in found) == sorted((k, h) for k, _, h in rows) and all(r.verified for r in found)
+    assert len(list((tmp_path / "w").glob("*.txt"))) <= 2
+    import gzip
+
+    assert gzip.decompress(next((tmp_path / "w").glob("*.txt")).read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
 @pytest.mark.parametrize("step", [1, 2, 3, 50])
