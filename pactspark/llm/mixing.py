@@ -49,7 +49,8 @@ def _split(column: str):
 
 
 def _long(words: str) -> str:
-    return f"filter(transform({words}, w -> trim(BOTH '{TRIMMED}' FROM w)), w -> length(w) >= {LONG_WORD})"
+    long = f"w -> length(w) >= {LONG_WORD}"  # looked at twice, as trimming is slow
+    return f"filter(transform(filter({words}, {long}), w -> trim(BOTH '{TRIMMED}' FROM w)), {long})"
 
 
 def topic_words(docs: DataFrame, topics: int = TOPICS) -> list[str]:
@@ -60,8 +61,8 @@ def topic_words(docs: DataFrame, topics: int = TOPICS) -> list[str]:
     return [r["word"] for r in spread.where(F.col("count") <= WIDEST * n).orderBy(F.desc("count"), "word").limit(topics).collect()]
 
 
-def _listed(values) -> str:
-    return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
 def with_values(rows: DataFrame, targets: Targets, words: list[str] | None) -> DataFrame:
@@ -70,9 +71,9 @@ def with_values(rows: DataFrame, targets: Targets, words: list[str] | None) -> D
     rows = rows.withColumn("tokens", F.size("words").cast("long"))
     if words is not None:
         if words:
-            rows = rows.withColumn("named", F.expr(f"filter({_long('words')}, w -> array_contains({_listed(words)}, w))"))
-            rows = rows.withColumn("tally", F.expr(f"transform({_listed(words)}, x -> size(filter(named, w -> w = x)))"))
-            rows = rows.withColumn("topic", F.expr(f"if(size(named) = 0, 'none', element_at({_listed(words)}, int(array_position(tally, array_max(tally)))))")).drop("named", "tally")
+            rows = rows.withColumn("named", F.expr(f"filter({_long('words')}, w -> w IN ({_quoted(words)}))"))
+            rows = rows.withColumn("tally", F.expr(f"transform(array({_quoted(words)}), x -> size(filter(named, w -> w = x)))"))
+            rows = rows.withColumn("topic", F.expr(f"if(size(named) = 0, 'none', element_at(array({_quoted(words)}), int(array_position(tally, array_max(tally)))))")).drop("named", "tally")
         else:
             rows = rows.withColumn("topic", F.lit("none"))
     rows = rows.drop("words")
