@@ -5,10 +5,11 @@ from __future__ import annotations
 import threading
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import new_session
-from .errors import ConfigError, MissingBundle
+from .errors import ConfigError, MissingBundle, ResultTooLarge
 from .plans.guard import reject_unsafe
 from .policy import BundleHandle
 from .sources.bindings import in_session
@@ -31,7 +32,7 @@ class EngineConfig:
 
 
 class BundleEngine:
-    """Tables are registered by name; without a bundle no query runs, and results have ``max_result_rows`` rows at most."""
+    """Tables are registered by name; without a bundle no query runs. Results that are fetched have ``max_result_rows`` rows at most."""
 
     _sealed = True
 
@@ -78,4 +79,11 @@ class BundleEngine:
         if self._bundle is None:
             raise MissingBundle
         reject_unsafe(sql)
-        return self.session.sql(sql.strip().rstrip(";")).limit(self.config.max_result_rows)
+        return self.session.sql(sql.strip().rstrip(";"))
+
+    def fetch(self, sql: str) -> pa.Table:
+        """A query's rows; a result with more than ``max_result_rows`` is an error and never cut."""
+        found = self.query(sql).limit(self.config.max_result_rows + 1).toArrow()
+        if found.num_rows > self.config.max_result_rows:
+            raise ResultTooLarge(self.config.max_result_rows)
+        return found

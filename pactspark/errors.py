@@ -93,6 +93,11 @@ class ConfigError(PactError):
     """A setting is empty or out of range."""
 
 
+class ResultTooLarge(PactError):
+    def __init__(self, most: int):
+        super().__init__(f"the result has more than {most} rows")
+
+
 class QueueFull(PactError):
     """A worker's queue has no room."""
 

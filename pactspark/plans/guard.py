@@ -97,17 +97,23 @@ def active(spark: SparkSession):
 
 def relations(spark: SparkSession, sql: str) -> list[str]:
     """Names of all relations that the one query in ``sql`` reads, one entry for each reference, in no special order."""
+    return names_in(spark, sql)[0]
+
+
+def names_in(spark: SparkSession, sql: str) -> tuple[list[str], set[str]]:
+    """The relations of a query (see relations), and the functions it calls, in lower case."""
     found = statements(sql)
     if len(found) != 1:
         raise NotAQuery(f"one query is expected, not {len(found)}")
     with active(spark):
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     out: list[str] = []
-    _walk(plan, frozenset(), out)
-    return out
+    functions: set[str] = set()
+    _walk(plan, frozenset(), out, functions)
+    return out, functions
 
 
-def _walk(plan, ctes: frozenset[str], out: list[str]) -> None:
+def _walk(plan, ctes: frozenset[str], out: list[str], functions: set[str]) -> None:
     kind = plan.getClass().getSimpleName()
     if kind not in NODES:
         raise NotAQuery(f"{kind} is no part of a plain query")
@@ -125,24 +131,26 @@ def _walk(plan, ctes: frozenset[str], out: list[str]) -> None:
         recursive = plan.allowRecursion()
         for t in scala_seq(plan.cteRelations()):
             name = t.productElement(0).lower()
-            _walk(t.productElement(1), ctes | {name} if recursive else ctes, out)
+            _walk(t.productElement(1), ctes | {name} if recursive else ctes, out, functions)
             ctes = ctes | {name}
-        _walk(plan.child(), ctes, out)
+        _walk(plan.child(), ctes, out, functions)
         return
     for e in scala_seq(plan.expressions()):
-        _expression(e)
+        _expression(e, functions)
     for p in scala_seq(plan.subqueries()):
-        _walk(p, ctes, out)
+        _walk(p, ctes, out, functions)
     for p in scala_seq(plan.children()):
-        _walk(p, ctes, out)
+        _walk(p, ctes, out, functions)
 
 
-def _expression(root) -> None:
+def _expression(root, functions: set[str]) -> None:
     todo = [root]
     while todo:
         e = todo.pop()
         if e.getClass().getSimpleName() == "UnresolvedFunction":
-            _allowed([p.lower() for p in scala_seq(e.nameParts())], FUNCTIONS, False)
+            name = [p.lower() for p in scala_seq(e.nameParts())]
+            _allowed(name, FUNCTIONS, False)
+            functions.add(name[0])
         todo += scala_seq(e.children())
 
 

@@ -13,7 +13,7 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BudgetExhausted, ContractNotApproved, MalformedBundle
+from ..errors import BudgetExhausted, ContractNotApproved, MalformedBundle, PactError
 from ..functions.noise import PrivacyBudget, laplace
 from ..operators.govern import quoted
 from ..operators.predicate import filter_rows
@@ -67,18 +67,39 @@ def mismatch(doc: dict, who: Principal) -> tuple[AuditKind, str] | None:
 
 @dataclass
 class Pipeline:
-    """The rules under one bundle and principal; ``audit`` collects records, ``approved`` names of approved tables."""
+    """The rules under one bundle and principal; ``audit`` collects records.
+
+    An approval holds for the frame that was checked and for what the rules make of it, not for other
+    frames under the same table's name.
+    """
 
     bundle: BundleHandle
     principal: Principal
     budget: PrivacyBudget = field(default_factory=PrivacyBudget)
     audit: list[AuditRecord] = field(default_factory=list)
-    approved: set[str] = field(default_factory=set)
+    _approved: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     @property
     def rules(self) -> tuple[str, ...]:
         return RULE_ORDER
 
+    @property
+    def approved(self) -> set[str]:
+        """Names of tables with an approved frame."""
+        return {name for name, _ in self._approved}
+
+    def _passes(self, df: DataFrame, table: str) -> bool:
+        """Whether the frame was approved; another frame under an approved name is refused."""
+        if any(f is df and name == table for name, f in self._approved):
+            return True
+        if table in self.approved:
+            raise ContractNotApproved(f"another frame than this one was approved as '{table}'")
+        return False
+
+    def _made(self, df: DataFrame, table: str) -> DataFrame:
+        self._approved.append((table, df))
+        return df
+
     def _note(self, kind: AuditKind, table: str, detail: str, contract: str | None = None) -> None:
         self.audit.append(AuditRecord(kind, table, self.bundle.tenant_id, contract or self.bundle.contract_id or None, detail))
 
@@ -98,26 +119,25 @@ class Pipeline:
         if doc is not None:
             found = mismatch(doc, self.principal)
             if found is None:
-                self.approved.add(table)
                 self._note(AuditKind.CONTRACT_APPROVED, table, "approved")
-                return df
+                return self._made(df, table)
             self._note(found[0], table, found[1])
-        self.approved.discard(table)
+        self._approved = [x for x in self._approved if x[0] != table]
         return df.filter(F.lit(False))
 
     def row_filter(self, df: DataFrame, table: str) -> DataFrame:
         """A filter of the principal's own replaces the general one; null means none. Tables that weren't approved stay as they are."""
-        if table not in self.approved:
+        if not self._passes(df, table):
             return df
         doc = self._doc()
         own = doc.get("per_principal_row_filters") or {}
-        return filter_rows(df, own[self.principal.id] if self.principal.id in own else doc.get("row_filter"))
+        return self._made(filter_rows(df, own[self.principal.id] if self.principal.id in own else doc.get("row_filter")), table)
 
     def masking(self, df: DataFrame, table: str) -> DataFrame:
-        if table not in self.approved:
+        if not self._passes(df, table):
             return df
         actions = {c: MaskAction.parse(p["mask"], c) for c, p in (self._doc().get("column_policies") or {}).items() if isinstance(p, dict) and p.get("mask") is not None}
-        return df.select(*(self._mask(quoted(c), actions.get(c, MaskAction.NOOP)).alias(c) for c in df.columns))
+        return self._made(df.select(*(self._mask(quoted(c), actions.get(c, MaskAction.NOOP)).alias(c) for c in df.columns)), table)
 
     @staticmethod
     def _mask(col, action: MaskAction):
@@ -131,13 +151,11 @@ class Pipeline:
 
     def dp_noise(self, df: DataFrame, table: str, keys: list[str], results: dict[str, tuple[str, str]]) -> DataFrame:
         """Aggregate with noise of scale 1 / epsilon on results of noised columns; each such column pays once."""
-        if table not in self.approved:
+        if not self._passes(df, table):
             raise ContractNotApproved(f"table '{table}' was not approved")
-        params = {}
-        for c, p in (self._doc().get("dp_columns") or {}).items():
-            if not isinstance(p, dict) or {"epsilon_per_query", "noise_mechanism"} - p.keys():
-                raise MalformedBundle(f"dp_columns of '{c}' needs epsilon_per_query and noise_mechanism")
-            params[c] = float(p["epsilon_per_query"])
+        params = self._noise_params()
+        if bad := [k for k in keys if k in params]:
+            raise PactError(f"grouping by noised columns shows their values: {', '.join(bad)}")
         used = sorted({c for _, c in results.values()} & params.keys())
         try:
             self.budget.consume(self.bundle.tenant_id, {c: params[c] for c in used})
@@ -148,11 +166,29 @@ class Pipeline:
         plain = df.groupBy(*map(quoted, keys)).agg(*(functions[fn](F.lit(1) if c == "*" else quoted(c)).alias(a) for a, (fn, c) in results.items()))
         return plain.select(*map(quoted, keys), *((quoted(a) + laplace(1 / params[c])).alias(a) if c in params else quoted(a) for a, (_, c) in results.items()))
 
-    def apply(self, df: DataFrame, table: str) -> DataFrame:
-        """Check, filter and mask."""
-        for name in RULE_ORDER[:3]:
-            df = getattr(self, name)(df, table)
-        return df
+    def _noise_params(self) -> dict[str, float]:
+        params = {}
+        for c, p in (self._doc().get("dp_columns") or {}).items():
+            if not isinstance(p, dict) or {"epsilon_per_query", "noise_mechanism"} - p.keys():
+                raise MalformedBundle(f"dp_columns of '{c}' needs epsilon_per_query and noise_mechanism")
+            params[c] = float(p["epsilon_per_query"])
+        return params
+
+    def apply(self, df: DataFrame, table: str, keys: list[str] | None = None, results: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+        """All four rules: check, filter, mask, and noise on the aggregate that ``keys`` and ``results`` (see dp_noise) ask for.
+
+        Without an aggregate the rows themselves come back; they may not have columns that the bundle has noise for. A
+        denied table gives an empty frame.
+        """
+        out = self.contract_check(df, table)
+        if not self._passes(out, table):
+            return out
+        out = self.masking(self.row_filter(out, table), table)
+        if results is not None:
+            return self.dp_noise(out, table, keys or [], results)
+        if bad := sorted(self._noise_params().keys() & set(df.columns)):
+            raise PactError(f"columns with noise come in aggregates only: {', '.join(bad)}")
+        return out
 
 
 def build_pipeline(bundle: BundleHandle, principal: Principal, initial_budgets: dict[tuple[str, str], float] | None = None) -> Pipeline:

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pactspark.bundle_engine import BundleEngine, EngineConfig
-from pactspark.errors import ConfigError, MissingBundle, PactError, PoolShutdown, QueueFull, UnsafeStatement
+from pactspark.errors import ConfigError, MissingBundle, PactError, PoolShutdown, QueueFull, ResultTooLarge, UnsafeStatement
 from pactspark.policy import BundleHandle, DpParam, MaskAction, ResolvedPolicy
 from pactspark.serving.cache import CacheKey, QueryCache
 from pactspark.serving.formats import ResultFormat, format_result, json_rows, read_arrow, write_result
@@ -45,7 +45,9 @@ def test_bundle_engine(spark, tmp_path):
     assert e.query("SELECT sum(x) AS s FROM t").first().s == 30
     small = engine(spark, max_result_rows=2)
     small.inject_bundle(BUNDLE)
-    assert small.query("SELECT * FROM people").count() == 2
+    assert small.query("SELECT * FROM people").count() == 3 and small.fetch("SELECT * FROM people WHERE id < 3").num_rows == 2
+    with pytest.raises(ResultTooLarge, match="more than 2 rows"):
+        small.fetch("SELECT * FROM people")
 
 
 def test_formats(spark, tmp_path):
@@ -103,6 +105,40 @@ def test_pool(spark):
         pool.submit("acme", "SELECT 1")
 
 
+def test_pool_of_governed_engines(spark):
+    from pactspark.engine import Engine
+    from pactspark.sources.bindings import FrameBinding
+    from pactspark.sources.contracts import Caller, JsonContracts
+
+    def contract(name, **more):
+        return {"contract_id": name, "version": "1", "dataset": name, "binding": {"parquet": "unused"}, "owner_tenant": "acme", "purposes": ["analytics", "audit"], "columns": [{"name": "name", "mask": "redact"}], **more}
+
+    frame = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    source = JsonContracts([contract("a"), contract("noisy", dp_columns={"id": {"sensitivity": 1, "epsilon": 1}})])
+    e = Engine(spark, source, FrameBinding({"a": frame, "noisy": frame}))
+    pool = WorkerPool(lambda tenant: e, PoolConfig(workers=2, queue_depth=9, drain_s=20))
+    q = "SELECT name FROM a ORDER BY id"
+
+    def names(caller):
+        return pool.submit(caller.tenant, q, caller).result(60).column("name").to_pylist()
+
+    one, other, owner = Caller("u1", "analytics", "globex"), Caller("u2", "audit", "globex"), Caller("u1", "analytics", "acme")
+    assert names(one) == ["***", "***"] and names(owner) == ["x", "y"] and names(other) == ["***", "***"] and pool.cache.stats()["hits"] == 0
+    assert names(one) == ["***", "***"] and pool.cache.stats()["hits"] == 1
+    source.by_dataset |= JsonContracts([contract("a", row_filter="id = 2")]).by_dataset
+    assert names(one) == ["***"] and pool.cache.stats()["hits"] == 1
+    held = pool.cache.stats()["entries"]
+    assert pool.submit("globex", "SELECT id FROM noisy", one).result(60).num_rows == 2 and pool.cache.stats()["entries"] == held
+    for bad in (None, owner):
+        with pytest.raises(PactError, match="caller of the tenant"):
+            pool.submit("globex", q, bad).result(60)
+    with pytest.raises(PactError, match="purpose 'sales'"):
+        pool.submit("globex", q, Caller("u1", "sales", "globex")).result(60)
+    with pytest.raises(PactError, match="come from its source"):
+        pool.refresh_bundle("globex", BUNDLE)
+    assert pool.shutdown()
+
+
 def test_full_queues():
     hold, begun = threading.Event(), threading.Event()
 
