@@ -186,6 +186,8 @@ class BlobTable(DataSource):
 
     Options as for pact_blob. Comparisons of columns with values are pushed down
     to skip row groups by their statistics; Spark applies them again to the rows.
+    Sources in Python aren't told which columns a query needs: the option ``columns``
+    (names with commas between them) limits the table, and what is read, to some.
     """
 
     @classmethod
@@ -193,14 +195,20 @@ class BlobTable(DataSource):
         return "pact_blob_table"
 
     def schema(self):
+        import pyarrow as pa
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(_table(dict(self.options)).schema_arrow)
+        found, names = _table(dict(self.options)).schema_arrow, _columns(dict(self.options))
+        return from_arrow_schema(found if names is None else pa.schema([found.field(n) for n in names]))
 
     def reader(self, schema) -> DataSourceReader:
         return _BlobTableReader(dict(self.options))
 
 
+def _columns(options: dict) -> list[str] | None:
+    return [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
+
+
 def _table(options: dict):
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -241,4 +249,4 @@ class _BlobTableReader(DataSourceReader):
         return [_RowGroup(k) for k in range(meta.num_row_groups) if self._may_hold(meta.row_group(k))]
 
     def read(self, partition: _RowGroup):
-        yield from _table(self.options).iter_batches(row_groups=[partition.number])
+        yield from _table(self.options).iter_batches(row_groups=[partition.number], columns=_columns(self.options))
