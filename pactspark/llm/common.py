@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []  # folders made within each open temporary()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of this application's; all of them lie in one, which clean_up deletes."""
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pactspark-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that still read them end with that."""
+    _delete(spark, _own_dir(spark))
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made within are deleted at its end: for frames that are written within."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            _delete(spark, path)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ has RUN_WORDS words or more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -78,7 +78,7 @@ def _windows(places: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """``at, tie, runs`` for ``at, tie, text``: line intervals (b, e, counted from 0) that repeat earlier lines.
+    """``at, tie, runs`` for ``at, tie, text``: disjoint line intervals (b, e, counted from 0) that repeat earlier lines.
 
     A gram's first occurrence may stand in a shorter repeat than later ones share.
     Windows around matched grams that no run covers therefore go by their own hash
@@ -95,8 +95,13 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     windows = save(windows.select("at", "tie", "whole", "p").distinct(), "windows")
     more = _extended(save(_pairs(_matches(windows, "whole")), "pairs"), lines, run_words)
     both = found.unionByName(more).select("at", "tie", F.explode("runs").alias("r")).distinct()
-    both = both.join(lines.select("at", "tie", "i"), ["at", "tie"]).select("at", "tie", F.expr("struct(i[r.b - 1] AS b, i[r.e - 1] AS e)").alias("r"))
-    return both.groupBy("at", "tie").agg(F.collect_list("r").alias("runs"))
+    both = both.join(lines.select("at", "tie", "i"), ["at", "tie"]).select("at", "tie", F.expr("i[r.b - 1]").alias("b"), F.expr("i[r.e - 1]").alias("e"))
+    # Intervals that meet become one: a new one begins where none before reaches.
+    before = Window.partitionBy("at", "tie").orderBy("b", "e")
+    both = both.withColumn("reach", F.max("e").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("part", F.sum(F.when(F.col("reach") >= F.col("b") - 1, 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = both.groupBy("at", "tie", "part").agg(F.min("b").alias("b"), F.max("e").alias("e"))
+    return whole.groupBy("at", "tie").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, count: str | None = "removed_lines") -> DataFrame:
@@ -113,7 +118,11 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.xxhash64("text").alias("tie"))
     runs = save(repeated_runs(rows.select("at", "tie", F.col("row.text").alias("text")), run_words, gram_words), "runs")
     joined = rows.join(runs.hint("merge"), ["at", "tie"], "left")  # the same plan at every size
-    joined = joined.withColumn("kept", F.expr("if(runs IS NULL, NULL, filter(split(row.text, '\\n'), (x, i) -> NOT exists(runs, r -> i BETWEEN r.b AND r.e)))"))
+    lines = F.expr("split(row.text, '\\n')")
+    joined = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), lines))
+    # By sets of places, so that time does not go by lines times runs.
+    places = "array_except(sequence(0, size(lines) - 1), flatten(transform(runs, r -> sequence(r.b, r.e))))"
+    joined = joined.withColumn("kept", F.expr(f"if(runs IS NULL, NULL, transform(array(lines), l -> transform({places}, i -> l[i]))[0])"))
     text = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     joined = joined.withColumn("new_text", text)
     new = {"text": F.col("new_text"), "n_chars": F.coalesce(F.length("new_text").cast("long"), F.col("row.n_chars") if "n_chars" in names else F.lit(None))}

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from pactspark.llm import queries  # noqa: E402
+from pactspark.llm import common, queries  # noqa: E402
 
 
 def test_stages(spark, sf, tmp_path):
@@ -29,10 +30,35 @@ def test_stages(spark, sf, tmp_path):
 
 def test_stages_of_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).collect() == []
 
 
+def test_stages_of_messy_rows(spark, sf, messy, tmp_path):
+    """Nulls, ties, repeated rows and columns with names that operators use themselves: all columns keep their values."""
+    docs = messy.withColumn("topic", F.lit("mine")).withColumn("removed_lines", F.lit("r")).withColumn("score", F.col("doc_id")).withColumn("copies", F.lit(None).cast("string"))
+    rows = {tuple(r) for r in docs.drop("text", "n_chars").collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if k == len(corpus_pipeline.STAGES) - 1:
+            assert all(r.round_trip for r in out.collect())
+            break
+        assert out.columns == docs.columns and {tuple(r) for r in out.drop("text", "n_chars").collect()} <= rows, name
+        out.write.parquet(str(tmp_path / str(k)))
+        if name != "quality classifier":  # few of the odd rows are good
+            docs = spark.read.parquet(str(tmp_path / str(k)))
+
+
+def test_intermediate_tables_are_deleted(spark, documents):
+    import os
+
+    with common.temporary(spark):
+        kept = common.save(documents.limit(3), "x")
+        files = [f.removeprefix("file://").removeprefix("file:") for f in kept.inputFiles()]
+        assert kept.count() == 3 and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_the_twin(spark, sf, name):
     import duckdb
