@@ -57,8 +57,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-#: Target shares of tokens: sources and languages nearer to each other than the corpus has them, topics as it has them.
-MIXTURE = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: Target shares of tokens: sources, and less so languages and topics, nearer to each other than the corpus has them.
+MIXTURE = {"source": 0.7, "lang": 0.85, "topic": 0.85}
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
