@@ -70,11 +70,18 @@ def _extended(pairs: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
 
 
 def _windows(places: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
-    """``at, tie, hash, whole, p, e``: the shortest runs of run_words words, from p to e, whose lines hold a given gram (hash); whole is their own hash."""
-    shortest = f"aggregate(slice(n, s, {run_words}), struct(0 AS w, 0 AS k), (a, x) -> if(a.w >= {run_words}, a, struct(a.w + x AS w, a.k + 1 AS k)))"
-    each = f"transform(sequence(greatest(1, p - {run_words} + 1), p), s -> transform(array({shortest}), r -> if(r.w >= {run_words} AND s + r.k > p, struct(xxhash64(slice(h, s, r.k)) AS whole, s AS p, s + r.k - 1 AS e), NULL))[0])"
-    held = places.select("at", "tie", "p", "hash").join(lines, ["at", "tie"]).select("at", "tie", "hash", F.explode(F.expr(f"filter({each}, x -> x IS NOT NULL)")).alias("x"))
-    return held.select("at", "tie", "hash", "x.whole", "x.p", "x.e")
+    """``at, tie, hash, whole, p, e``: the shortest runs of run_words words, from p to e, counted from their first line or from
+    their last one, that hold the first line of a given gram (hash); whole is their own hash."""
+    step = f"(a, x) -> if(a.w >= {run_words}, a, struct(a.w + x AS w, a.k + 1 AS k))"
+    forward = f"aggregate(slice(n, s, {run_words}), struct(0 AS w, 0 AS k), {step})"
+    backward = f"aggregate(reverse(slice(n, greatest(1, s - {run_words} + 1), least(s, {run_words}))), struct(0 AS w, 0 AS k), {step})"
+    runs = [
+        f"transform(sequence(greatest(1, p - {run_words} + 1), p), s -> transform(array({forward}), r -> if(r.w >= {run_words} AND s + r.k > p, struct(s AS p, s + r.k - 1 AS e), NULL))[0])",
+        f"transform(sequence(p, least(size(n), p + {run_words} - 1)), s -> transform(array({backward}), r -> if(r.w >= {run_words} AND s - r.k < p, struct(s - r.k + 1 AS p, s AS e), NULL))[0])",
+    ]
+    each = f"array_distinct(filter(concat({', '.join(runs)}), x -> x IS NOT NULL))"
+    held = places.select("at", "tie", "p", "hash").join(lines, ["at", "tie"]).select("at", "tie", "hash", "h", F.explode(F.expr(each)).alias("x"))
+    return held.select("at", "tie", "hash", F.expr("xxhash64(slice(h, x.p, x.e - x.p + 1))").alias("whole"), "x.p", "x.e")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -83,7 +90,8 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     A gram's first occurrence may stand in a shorter repeat than later ones share.
     Windows around matched grams that no run covers therefore go by their own hash
     in a second round, in which the first occurrence of a window is a match by
-    itself. So every window that occurs earlier, anywhere, is in some run.
+    itself. So every window that occurs earlier, anywhere, is in some run. The windows
+    counted from each line on and back from each line cover every longer repeat whole.
     """
     lines = save(_lines(docs).dropDuplicates(["at", "tie"]), "lines")
     places = save(_selected(lines, run_words, gram_words), "grams")

@@ -306,9 +306,11 @@ def brute_lines(rows, least=50):
     return out
 
 
-def test_line_dedup(documents):
-    rows = sorted((r.doc_id, r.text) for r in documents.collect())
-    found = {r.doc_id: r for r in line_dedup.dedup_lines(documents).collect()}
+@pytest.mark.parametrize("sf_name", ["sf0.001", "sf0.1"])
+def test_line_dedup(spark, sf, sf_name):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', sf_name)}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     wanted = brute_lines(rows)
     assert [found[i].text for i, _ in rows] == wanted and any(w != t for w, (_, t) in zip(wanted, rows))
     assert all(r.n_chars == len(r.text) for r in found.values())
