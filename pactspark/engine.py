@@ -56,14 +56,14 @@ class Engine:
         self.spark, self.source, self.binding, self.budget = spark, source, binding, budget
         self.null_mode, self.strict_columns = null_mode, strict_columns
         self._lock = threading.RLock()
-        self._held: tuple[dict, SparkSession] | None = None
+        self._held: tuple[int, SparkSession] | None = None
 
     def __init_subclass__(cls, **kw):
         raise TypeError("the engine can't be extended")
 
     def _session(self) -> SparkSession:
         """The session of this engine's queries; a new one when the settings of the application's have changed."""
-        settings = self.spark.conf.getAll
+        settings = self.spark._jsparkSession.sessionState().conf().getAllConfs().hashCode()
         if self._held is None or self._held[0] != settings:
             self._held = settings, query_session(self.spark)
         return self._held[1]

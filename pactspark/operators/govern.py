@@ -30,6 +30,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _replaced(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """The frame with some of its columns replaced, in their places; names are exact, also where others differ by case only."""
+    if not cols:
+        return df
+    if len({c.lower() for c in df.columns}) == len(df.columns):
+        return df.withColumns(cols)
+    return df.select(*(cols[c].alias(c) if c in cols else quoted(c) for c in df.columns))
+
+
 @dataclass(frozen=True)
 class GovernedFrame:
     """A frame that a contract approved, and the operators that may follow.
@@ -65,9 +74,9 @@ class GovernedFrame:
         known = {f.name for f in self.df.schema}
         if strict_columns and (gone := [c for c in masks if c not in known]):
             raise UnknownColumn(f"masked columns that the data doesn't have: {', '.join(gone)}")
-        cols = [mask(quoted(f.name), f.dataType, masks[f.name], f.name, null_mode, redacted).alias(f.name) if masks.get(f.name, MaskAction.NOOP) is not MaskAction.NOOP else quoted(f.name) for f in self.df.schema]
+        cols = {f.name: mask(quoted(f.name), f.dataType, masks[f.name], f.name, null_mode, redacted) for f in self.df.schema if masks.get(f.name, MaskAction.NOOP) is not MaskAction.NOOP}
         done = sorted(c for c in masks if c in known)
-        return self._with("Masking", ", ".join(done) or "none", df=self.df.select(*cols))
+        return self._with("Masking", ", ".join(done) or "none", df=_replaced(self.df, cols))
 
     def noise(self, budget: PrivacyBudget | None = None, strict_columns: bool = False) -> GovernedFrame:
         """Add noise to every value of the policy's columns, with new seeds.
@@ -89,8 +98,8 @@ class GovernedFrame:
             raise UnknownColumn(f"noised columns that the data doesn't have: {', '.join(gone)}")
         costs = {c: p.epsilon for c, p in params.items() if c in kinds}
         spent = (budget or PrivacyBudget()).consume(self.policy.tenant_id, costs)
-        cols = [noised(quoted(c), k, params[c], c).alias(c) if c in params else quoted(c) for c, k in kinds.items()]
-        return self._with("LaplaceNoise", ", ".join(sorted(costs)) or "none", df=self.df.select(*cols), epsilon=(self.epsilon or 0.0) + spent)
+        cols = {c: noised(quoted(c), k, params[c], c) for c, k in kinds.items() if c in params}
+        return self._with("LaplaceNoise", ", ".join(sorted(costs)) or "none", df=_replaced(self.df, cols), epsilon=(self.epsilon or 0.0) + spent)
 
     def group_by(self, *keys: str) -> NoisyAggregate:
         """Aggregates with noise on those results that come from the policy's noised columns."""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import UnsupportedPredicate
 
@@ -45,9 +43,6 @@ def filter_rows(df: DataFrame, text: str | None) -> DataFrame:
         return df
     check_predicate(df.sparkSession, text)
     try:
-        kind = df.select(F.expr(text).alias("p")).schema[0].dataType
-        if not isinstance(kind, T.BooleanType):
-            raise UnsupportedPredicate(f"row filter is of type {kind.simpleString()}: {text!r}")
-        return df.filter(F.expr(text))
+        return df.filter(text)
     except AnalysisException as e:
         raise UnsupportedPredicate(f"row filter doesn't fit the data: {text!r}: {e}") from None
