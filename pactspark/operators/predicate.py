@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,12 @@ from ..errors import UnsupportedPredicate
 _NODES = frozenset("EqualTo Not LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual And Or In Like IsNull IsNotNull UnresolvedAttribute Literal".split())
 
 
+def spelt(text: str) -> str:
+    """The operators ``~~`` and ``!~~`` as LIKE and NOT LIKE; quoted text stays as it is."""
+    parts = re.split(r"('(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`)", text)
+    return "".join(p if k % 2 else p.replace("!~~", " NOT LIKE ").replace("~~", " LIKE ") for k, p in enumerate(parts))
+
+
 def scala_seq(seq) -> list:
     return [seq.apply(k) for k in range(seq.size())]
 
@@ -41,6 +49,7 @@ def filter_rows(df: DataFrame, text: str | None) -> DataFrame:
     """Rows for which the predicate is true; without one, all rows. Unknown columns and other than boolean types fail here."""
     if not text or not text.strip():
         return df
+    text = spelt(text)
     check_predicate(df.sparkSession, text)
     try:
         return df.filter(text)

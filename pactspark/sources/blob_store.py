@@ -89,6 +89,32 @@ class BlobClient:
         return self.read(asset_id, a, max(b - a, 0))
 
 
+class BlobStore:
+    """The service as a read-only object store: paths are assets, nothing is listed, and writing is refused."""
+
+    def __init__(self, client: BlobClient):
+        self._client = client
+
+    def head(self, path: str) -> int:
+        """The object's size."""
+        return int(self._client.stat(path)["size"])
+
+    def get(self, path: str) -> bytes:
+        return self._client.get_range(path)
+
+    def get_range(self, path: str, start: int | None = None, stop: int | None = None) -> bytes:
+        return self._client.get_range(path, start, stop)
+
+    def list(self, prefix: str = "") -> list[str]:
+        return []
+
+    def put(self, path: str, data: bytes) -> None:
+        raise BlobError("the store is read-only")
+
+    def delete(self, path: str) -> None:
+        raise BlobError("the store is read-only")
+
+
 class SocketSigner:
     """Signs attestation envelopes through a signing service."""
 

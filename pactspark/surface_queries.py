@@ -138,7 +138,7 @@ def q69_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q70_blob_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Parquet table served in byte ranges, and ranges of its bytes."""
+    """A Parquet table served in byte ranges, and ranges of its bytes, by a service on the machine of driver and executors."""
     body = bytes(spark.read.format("binaryFile").load(f"{sf_dir}/nation.parquet").first()["content"])
     path = os.path.join(tempfile.mkdtemp(), "s")  # a socket of this machine, where the service runs
     with LocalBlobService(path, {"nation": body}):
@@ -370,7 +370,11 @@ def q82_attestation_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q83_governed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered and masked stream, written as Parquet until its source is read."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp()
     folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     kind = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
     p = ResolvedPolicy("c", "1", "acme", Allow(), {"c_name": MaskAction.HASH_SHA256, "c_acctbal": MaskAction.NULL}, "c_mktsegment = 'MACHINERY'")
@@ -529,7 +533,8 @@ SQL: dict[str, tuple[str, str]] = {
         "SELECT a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.event_id",
     ),
     "q105_as_of": (
-        "SELECT o_orderkey, max_by(e.event_id, struct(e.ts, e.event_id)) AS last_error FROM (SELECT o_orderkey, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT)) AS at FROM \"sales/orders/v1\" t) o JOIN (SELECT event_id, ts FROM \"sales/events/v1\" t WHERE event_type = 'error') e ON e.ts <= o.at AND e.ts > o.at - INTERVAL '6' HOUR GROUP BY o_orderkey",
+        # Bins of six hours make the join one of equal keys; an event is at most one bin before its order.
+        "WITH o AS (SELECT o_orderkey, at, explode(array(timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', at) div 6, timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', at) div 6 - 1)) AS bin FROM (SELECT o_orderkey, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT)) AS at FROM \"sales/orders/v1\" t) x), e AS (SELECT event_id, ts, timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) div 6 AS bin FROM \"sales/events/v1\" t WHERE event_type = 'error') SELECT o_orderkey, max_by(e.event_id, struct(e.ts, e.event_id)) AS last_error FROM o JOIN e ON e.bin = o.bin AND e.ts <= o.at AND e.ts > o.at - INTERVAL '6' HOUR GROUP BY o_orderkey",
         "SELECT o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) AS last_error FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_hours(o_orderkey % 700) AS at FROM orders) o JOIN (SELECT event_id, ts FROM events WHERE event_type = 'error') e ON e.ts <= o.at AND e.ts > o.at - INTERVAL 6 HOUR GROUP BY o_orderkey",
     ),
 }

@@ -58,6 +58,15 @@ def test_governed_schema(spark):
     assert [f.dataType.simpleString() for f in s] == ["string", "string"]
 
 
+def test_other_spellings_of_like(spark):
+    df = spark.createDataFrame([("ab",), ("b~~c",), (None,)], "x string")
+
+    def kept(text):
+        return sorted(r.x for r in approve(df, policy(row_filter=text)).row_filter().df.collect())
+
+    assert kept("x ~~ 'a%'") == ["ab"] and kept("x !~~ 'a%'") == ["b~~c"] and kept("x = 'b~~c'") == ["b~~c"]
+
+
 def test_row_filters(spark):
     df = spark.createDataFrame([(1, "us", None), (2, "eu", 1.5), (3, None, 2.5)], "id long, region string, v double")
 

@@ -7,7 +7,7 @@ import pytest
 from pactspark.errors import BlobAccessDenied, BlobError, BlobRangeError, ContractError, SigningRefused, VerifyError
 from pactspark.policy import Deny, MaskAction
 from pactspark.sources.blob_service import LocalBlobService
-from pactspark.sources.blob_store import BlobClient, BlobFile, BlobSource, BlobTable, SocketSigner
+from pactspark.sources.blob_store import BlobClient, BlobFile, BlobSource, BlobStore, BlobTable, SocketSigner
 from pactspark.sources.contracts import Caller
 from pactspark.sources.signed_bundle import BundleService, SignedBundle
 
@@ -159,6 +159,15 @@ def test_blob_file(service):
         f.write(b"x")
 
 
+def test_blob_store(service):
+    path, blob = service
+    store = BlobStore(BlobClient(path, "acme", "token"))
+    assert store.head("a") == len(blob) and store.get("a") == blob and store.get_range("a", -4) == blob[-4:] and store.list() == []
+    for refused in (lambda: store.put("a", b""), lambda: store.delete("a"), lambda: store.head("gone")):
+        with pytest.raises(BlobError):
+            refused()
+
+
 def test_signer(service):
     s = SocketSigner(service[0])
     assert len(s.sign("{}", "1", "acme")) == 64 and s.key_id == "k1"
