@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bounds of an Arrow batch handed to Python: texts may be long, so bytes count as well as rows.
 BATCH_ROWS = "4096"
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,5 +81,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def released(run):
+    """A function over Arrow batches that gives back freed memory at its end: workers stay, and serve other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

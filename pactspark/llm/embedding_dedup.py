@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, save, small_batches
+from .common import partitions, released, save, small_batches
 from .components import components
 from .simhash import _Forest
 
@@ -181,7 +181,7 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE, recall: float =
     groups = save(valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("v").alias("v")).withColumn("id", F.xxhash64("h1", "h2")), "vectors")
     n = groups.count()
     bits, tables = tables_for(n, cosine, recall)
-    hashed = save(groups.select("id", "m", "v").mapInArrow(_signed(bits, tables, seed, kind), "id long, m long, dim int, codes array<int>, vector binary"), "hashes")
+    hashed = save(groups.select("id", "m", "v").mapInArrow(released(_signed(bits, tables, seed, kind)), "id long, m long, dim int, codes array<int>, vector binary"), "hashes")
     placed = hashed.select("id", "m", "dim", "vector", F.posexplode("codes").alias("table", "bucket"))
     n_parts = partitions(spark)
     least = min(max(LEAST_JOB, n * tables // (2 * n_parts)), MOST_JOB)
@@ -197,7 +197,7 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE, recall: float =
     part = F.least("i", "j") * 65536 + F.greatest("i", "j")
     jobs = placed.select(F.col("bucket").cast("long").alias("key"), "dim", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"), "table", "id", "m", "vector")
     order = ["table", "key", "dim", "part"]
-    found = save(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(cosine, kind, bits, tables, seed), "id long, other long, n long"), "links")
+    found = save(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(released(_compared(cosine, kind, bits, tables, seed)), "id long, other long, n long"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = groups.drop("v").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(counts, "id", "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import released, small_batches
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _UNQUOTED = re.compile(r"[^>\"']*")
@@ -340,4 +340,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(released(_extracted), "page_id long, url string, text string, n_chars long")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, save, small_batches
+from .common import partitions, released, save, small_batches
 
 EXACT = 16
 SKETCH = 4096
@@ -215,7 +215,7 @@ def fingerprint_vectors(docs: DataFrame) -> DataFrame:
     without reading the others.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_vectors, "doc_id long, fingerprint string, vector binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(_vectors), "doc_id long, fingerprint string, vector binary")
 
 
 def _bounds(found: list[int]) -> list[tuple[int, int]]:
@@ -267,7 +267,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.col("goes_to").cast("int").alias("bucket"), F.lit(True).alias("guest"))
     dealt = sent.withColumn("as", F.explode(F.when(F.col("goes_to").isNull(), F.array(own)).otherwise(F.array(own, guest)))).select("as.bucket", "as.guest", "at", "tie", "doc_id", "text", "copies")
     placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "at", "tie")
-    return placed.select("bucket", "guest", "doc_id", "text", "copies").mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.select("bucket", "guest", "doc_id", "text", "copies").mapInArrow(released(_pairs), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _bisect(bounds: list[tuple[int, int]]):

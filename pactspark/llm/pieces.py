@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import released, small_batches
 
 SPACE = "▁"
 STEP = 1000  # texts that are encoded together
@@ -286,7 +286,7 @@ class PieceModel:
         for c in new:
             step.append(c)
             size += len(c)
-            if size > 1_000_000:
+            if size > 300_000:
                 self.learn(step)
                 step, size = [], 0
         if step:
@@ -333,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(path), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    return rows.mapInArrow(released(_encoded(path)), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def _decoded(path: str):
@@ -348,4 +348,4 @@ def _decoded(path: str):
 def decode_documents(rows: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give a null text."""
     small_batches(rows.sparkSession)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decoded(path), "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(released(_decoded(path)), "doc_id long, text string")

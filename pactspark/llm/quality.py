@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import released, save, small_batches
 
 MAX_LABELLED = 20_000  # positives that the model is fitted on, about
 START = 20_000  # unlabelled texts that start the training, about
@@ -195,7 +195,7 @@ def featurise(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
     rows = docs.select(row.alias("row"), F.col("doc_id").try_cast("long").alias("key"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return save(rows.mapInArrow(_featured, f"row {rows.schema['row'].dataType.simpleString()}, key long, held_out boolean, x array<double>"), "features")
+    return save(rows.mapInArrow(released(_featured), f"row {rows.schema['row'].dataType.simpleString()}, key long, held_out boolean, x array<double>"), "features")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -215,7 +215,7 @@ def _totals(rows: DataFrame, of) -> np.ndarray:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0).tolist()], pa.list_(pa.float64()))], ["v"])
 
-    found = rows.select("x").mapInArrow(first, "v array<double>").repartition(16).mapInArrow(second, "v array<double>").collect()
+    found = rows.select("x").mapInArrow(released(first), "v array<double>").repartition(16).mapInArrow(released(second), "v array<double>").collect()
     return np.sum(sorted(r["v"] for r in found), axis=0)
 
 
@@ -279,11 +279,11 @@ def score_documents(rows: DataFrame, model: Model) -> DataFrame:
     Null texts are scored as empty ones; repeated rows stay; other columns are
     ignored and never inputs; an id that is no number becomes null.
     """
-    scored = rows.select(F.col("key").alias("doc_id"), "held_out", "x").mapInArrow(_scored(model), "doc_id long, held_out boolean, score double")
+    scored = rows.select(F.col("key").alias("doc_id"), "held_out", "x").mapInArrow(released(_scored(model)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows whose text scores ``least`` or more, with all the columns that featurise kept."""
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
-    return rows.select("row", "x").mapInArrow(_scored(model), schema).where(F.col("score") >= least).select("row.*")
+    return rows.select("row", "x").mapInArrow(released(_scored(model)), schema).where(F.col("score") >= least).select("row.*")

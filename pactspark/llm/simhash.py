@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, save, small_batches
+from .common import partitions, released, save, small_batches
 from .components import components
 
 BLOCKS = 5  # blocks of a word of 64 bits
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, width: int = 5, words: int = 1, once: bool = F
     """``key, f0, f1`` of each row of ``key, text``; f1 is 0 for fingerprints of one word. With ``once`` repeated shingles count once."""
     small_batches(docs.sparkSession)
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(_hashed(width, words, once), f"key {kind}, f0 long, f1 long")
+    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(released(_hashed(width, words, once)), f"key {kind}, f0 long, f1 long")
 
 
 class _Forest:
@@ -376,7 +376,7 @@ def links(fps: DataFrame, budget: int, words: int = 1, errors: int | None = None
     lo, hi = F.when(swap, F.col("j")).otherwise(F.col("i")), F.when(swap, F.col("i")).otherwise(F.col("j"))
     jobs = paired.select(key.alias("key"), swap.cast("int").alias("side"), "f0", "f1", "id", (lo.cast("long") * 65536 + hi).alias("part"))
     dealt = jobs.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(_joined(errors, budget, top, direct), "a long, b long")
+    return dealt.mapInArrow(released(_joined(errors, budget, top, direct)), "a long, b long")
 
 
 def _shingled(width: int):
@@ -480,9 +480,9 @@ def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budge
     wanted = save(distinct.join(ends, "id").select("id", F.col("least").alias("key")), "wanted")
     texts = docs.select("key", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "key").groupBy("id").agg(F.min("text").alias("text"))
     small_batches(edges.sparkSession)
-    sets = save(texts.mapInArrow(_shingled(width), "id long, s array<long>"), "sets")
+    sets = save(texts.mapInArrow(released(_shingled(width)), "id long, s array<long>"), "sets")
     both = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    good = save(both.select("a", "b", "sa", "sb").mapInArrow(_held(least), "a long, b long"), "links")
+    good = save(both.select("a", "b", "sa", "sb").mapInArrow(released(_held(least)), "a long, b long"), "links")
     trees, found = components(edges), components(good)
     members = trees.select("id", F.col("root").alias("whole")).join(found, "id", "left").select("id", "whole", F.coalesce("root", "id").alias("comp")).join(sets, "id")
     members = save(members, "members")
@@ -495,7 +495,7 @@ def verified(distinct: DataFrame, docs: DataFrame, width: int, words: int, budge
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).join(fps, "id")
     part = F.least("i", "j").cast("long") * 2**31 + F.greatest("i", "j")
     rows = rows.select("id", "f0", "f1", "comp", "s", "whole", part.alias("part"), (F.col("i") > F.col("j")).cast("int").alias("side"))
-    more = rows.repartition("whole", "part").sortWithinPartitions("whole", "part").mapInArrow(_matched(least), "a long, b long")
+    more = rows.repartition("whole", "part").sortWithinPartitions("whole", "part").mapInArrow(released(_matched(least)), "a long, b long")
     return save(good.union(more), "links")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, released, small_batches
 
 BLOCK_DOCS = 4096  # an index within a block fits in two bytes
 BLOCK_CHARS = 16_000_000  # a longer single document still makes one block
@@ -289,7 +289,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     small_batches(spark)
     buckets = max(1, partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.mapInArrow(_blocks(path, buckets), _SHUFFLED).repartition(buckets, "bucket")
-    sums = dealt.mapInArrow(_counted(path), _SUMS)
+    dealt = rows.mapInArrow(released(_blocks(path, buckets)), _SHUFFLED).repartition(buckets, "bucket")
+    sums = dealt.mapInArrow(released(_counted(path)), _SUMS)
     out = sums.groupBy("block").applyInArrow(_gathered, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, save, small_batches
+from .common import new_folder, released, save, small_batches
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
@@ -115,7 +115,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     page_id are all responses. An empty table makes an empty folder.
     """
     small_batches(pages.sparkSession)
-    rows = plan_records(pages, revisit_from).mapInArrow(_writer(segment_bytes, chunk_bytes), "value binary")
+    rows = plan_records(pages, revisit_from).mapInArrow(released(_writer(segment_bytes, chunk_bytes)), "value binary")
     writer = rows.select(F.col("value").cast("string").alias("value")).write
     writer.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
@@ -397,8 +397,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     small_batches(spark)
     own = spark.read.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.txt").text(path).select(F.col("value").cast("binary").alias("content"))
     files = own.union(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content"))
-    segments = files.mapInArrow(_segments(payloads), _SEGMENT_SQL).repartition("origin", "write")
-    found = save(segments.sortWithinPartitions("origin", "write", "number").mapInArrow(_assembled(payloads), _PAYLOAD_SQL), "records")
+    segments = files.mapInArrow(released(_segments(payloads)), _SEGMENT_SQL).repartition("origin", "write")
+    found = save(segments.sortWithinPartitions("origin", "write", "number").mapInArrow(released(_assembled(payloads)), _PAYLOAD_SQL), "records")
     others = found.where("record_type <> 'revisit'").drop("record_id", "target")
     target = found.where("record_type = 'response' AND verified").groupBy(F.col("record_id").alias("target"), "payload_digest", "payload_bytes").agg(F.min("payload").alias("of"), F.lit(True).alias("there"))
     # Both sides are plain shuffles of a large join, so that a record which many refer to can be split in it.
