@@ -28,8 +28,8 @@ from .common import released, small_batches
 
 SPACE = "▁"
 STEP = 1000  # texts that are encoded together
-MOST_CHUNKS = 80_000
-MOST_PAIRS = 200_000
+MOST_CHUNKS = 200_000
+MOST_PAIRS = 500_000
 _LETTER = re.compile(r"[^\W\d_]")
 _APART = "\U0010ffff"
 _WIDTH = 1 << 22  # more than the pieces and code points together
@@ -286,7 +286,7 @@ class PieceModel:
         for c in new:
             step.append(c)
             size += len(c)
-            if size > 300_000:
+            if size > 500_000:
                 self.learn(step)
                 step, size = [], 0
         if step:
