@@ -69,18 +69,32 @@ def _extended(pairs: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
     return save(runs.groupBy("at", "tie").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "runs")
 
 
-def _windows(places: DataFrame, lines: DataFrame, run_words: int) -> DataFrame:
+def _windows(places: DataFrame, lines: DataFrame, run_words: int, found: DataFrame | None = None) -> DataFrame:
     """``at, tie, hash, whole, p, e``: the shortest runs of run_words words, from p to e, counted from their first line or from
-    their last one, that hold the first line of a given gram (hash); whole is their own hash."""
+    their last one, that hold the first line of a given gram (hash); whole is their own hash. Those that lie in runs ``found`` are left out."""
     step = f"(a, x) -> if(a.w >= {run_words}, a, struct(a.w + x AS w, a.k + 1 AS k))"
-    forward = f"aggregate(slice(n, s, {run_words}), struct(0 AS w, 0 AS k), {step})"
-    backward = f"aggregate(reverse(slice(n, greatest(1, s - {run_words} + 1), least(s, {run_words}))), struct(0 AS w, 0 AS k), {step})"
+
+    def forward(at: str) -> str:
+        return f"aggregate(slice(n, {at}, {run_words}), struct(0 AS w, 0 AS k), {step})"
+
+    def backward(at: str) -> str:
+        return f"aggregate(reverse(slice(n, greatest(1, {at} - {run_words} + 1), least({at}, {run_words}))), struct(0 AS w, 0 AS k), {step})"
+
     runs = [
-        f"transform(sequence(greatest(1, p - {run_words} + 1), p), s -> transform(array({forward}), r -> if(r.w >= {run_words} AND s + r.k > p, struct(s AS p, s + r.k - 1 AS e), NULL))[0])",
-        f"transform(sequence(p, least(size(n), p + {run_words} - 1)), s -> transform(array({backward}), r -> if(r.w >= {run_words} AND s - r.k < p, struct(s - r.k + 1 AS p, s AS e), NULL))[0])",
+        f"transform(sequence(greatest(1, p - {run_words} + 1), p), s -> transform(array({forward('s')}), r -> if(r.w >= {run_words} AND s + r.k > p, struct(s AS p, s + r.k - 1 AS e), NULL))[0])",
+        f"transform(sequence(p, least(size(n), p + {run_words} - 1)), s -> transform(array({backward('s')}), r -> if(r.w >= {run_words} AND s - r.k < p, struct(s - r.k + 1 AS p, s AS e), NULL))[0])",
     ]
     each = f"array_distinct(filter(concat({', '.join(runs)}), x -> x IS NOT NULL))"
-    held = places.select("at", "tie", "p", "hash").join(lines, ["at", "tie"]).select("at", "tie", "hash", "h", F.explode(F.expr(each)).alias("x"))
+    held = places.select("at", "tie", "p", "hash").join(lines, ["at", "tie"])
+    if found is not None:
+        # No window that holds line p begins before the one that ends at p - 1, or ends behind the one that begins at p + 1.
+        ahead = f"transform(array({forward('p + 1')}), r -> if(r.w >= {run_words}, p + r.k, size(n)))[0]"
+        behind = f"transform(array({backward('p - 1')}), r -> if(r.w >= {run_words}, p - r.k, 1))[0]"
+        held = held.withColumn("lo", F.expr(f"if(p = 1, 1, {behind})")).withColumn("hi", F.expr(f"if(p = size(n), p, {ahead})")).join(found, ["at", "tie"], "left")
+        held = held.where("NOT coalesce(exists(runs, r -> r.b <= lo AND r.e >= hi), false)")
+    held = held.select("at", "tie", "hash", "h", *(["runs"] if found is not None else []), F.explode(F.expr(each)).alias("x"))
+    if found is not None:
+        held = held.where("NOT coalesce(exists(runs, r -> r.b <= x.p AND r.e >= x.e), false)")
     return held.select("at", "tie", "hash", F.expr("xxhash64(slice(h, x.p, x.e - x.p + 1))").alias("whole"), "x.p", "x.e")
 
 
@@ -97,8 +111,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     places = save(_selected(lines, run_words, gram_words), "grams")
     met = save(_matches(places, "hash"), "met")
     found = _extended(save(_pairs(met), "pairs"), lines, run_words)
-    around = _windows(met, lines, run_words).join(found, ["at", "tie"], "left")
-    bare = around.where("NOT coalesce(exists(runs, r -> r.b <= p AND r.e >= e), false)").select("hash").distinct()
+    bare = _windows(met, lines, run_words, found).select("hash").distinct()
     windows = _windows(places.join(save(bare, "bare"), "hash", "left_semi"), lines, run_words)
     windows = save(windows.select("at", "tie", "whole", "p").distinct(), "windows")
     more = _extended(save(_pairs(_matches(windows, "whole")), "pairs"), lines, run_words)
