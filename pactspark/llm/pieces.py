@@ -28,8 +28,8 @@ from .common import released, small_batches
 
 SPACE = "▁"
 STEP = 1000  # texts that are encoded together
-MOST_CHUNKS = 200_000
-MOST_PAIRS = 500_000
+MOST_CHUNKS = 120_000
+MOST_PAIRS = 300_000
 _LETTER = re.compile(r"[^\W\d_]")
 _APART = "\U0010ffff"
 _WIDTH = 1 << 22  # more than the pieces and code points together
