@@ -533,8 +533,9 @@ SQL: dict[str, tuple[str, str]] = {
         "SELECT a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.event_id",
     ),
     "q105_as_of": (
-        # Bins of six hours make the join one of equal keys; an event is at most one bin before its order.
-        "WITH o AS (SELECT o_orderkey, at, explode(array(timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', at) div 6, timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', at) div 6 - 1)) AS bin FROM (SELECT o_orderkey, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT)) AS at FROM \"sales/orders/v1\" t) x), e AS (SELECT event_id, ts, timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) div 6 AS bin FROM \"sales/events/v1\" t WHERE event_type = 'error') SELECT o_orderkey, max_by(e.event_id, struct(e.ts, e.event_id)) AS last_error FROM o JOIN e ON e.bin = o.bin AND e.ts <= o.at AND e.ts > o.at - INTERVAL '6' HOUR GROUP BY o_orderkey",
+        # Orders are at whole hours, so the last error of each hour is enough: it is told to the first whole hour from it on and the next five,
+        # and each order meets one row. Hours are counted from 2024-01-01; an order's lie between -699 and 699.
+        "WITH h AS (SELECT datediff(CAST(ts AS DATE), DATE '2024-01-01') * 24L + hour(ts) + CAST(minute(ts) > 0 OR extract(SECOND FROM ts) > 0 AS INT) AS first, max_by(event_id, struct(ts, event_id)) FILTER (WHERE event_id IS NOT NULL) AS last FROM \"sales/events/v1\" t WHERE event_type = 'error' AND ts IS NOT NULL GROUP BY 1), e AS (SELECT n, max_by(last, first) FILTER (WHERE last IS NOT NULL) AS last_error FROM (SELECT first, last, explode(sequence(first, first + 5)) AS n FROM h) x WHERE n BETWEEN -699 AND 699 GROUP BY n) SELECT /*+ BROADCAST(e) */ o_orderkey, last_error FROM (SELECT DISTINCT o_orderkey FROM \"sales/orders/v1\" t) o JOIN e ON e.n = o.o_orderkey % 700",
         "SELECT o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) AS last_error FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_hours(o_orderkey % 700) AS at FROM orders) o JOIN (SELECT event_id, ts FROM events WHERE event_type = 'error') e ON e.ts <= o.at AND e.ts > o.at - INTERVAL 6 HOUR GROUP BY o_orderkey",
     ),
 }
